@@ -1,8 +1,9 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import mixing
+from . import mixing, rules
 
 _ALL = {
+    "op1_quality_rules": rules,
     "op5_mixing": mixing,
 }
 
