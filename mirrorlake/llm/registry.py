@@ -1,10 +1,12 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import mixing, rules
+from . import licences, mixing, rules, secrets
 
 _ALL = {
     "op1_quality_rules": rules,
     "op5_mixing": mixing,
+    "op7_secret_scan": secrets,
+    "op8_license_scan": licences,
 }
 
 
