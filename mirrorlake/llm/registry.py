@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import licences, mixing, rules, secrets
+from . import jaccard, licences, mixing, rules, secrets
 
 _ALL = {
     "op1_quality_rules": rules,
+    "op3_ngram_jaccard": jaccard,
     "op5_mixing": mixing,
     "op7_secret_scan": secrets,
     "op8_license_scan": licences,
