@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import jaccard, licences, mixing, rules, secrets
+from . import decontaminate, jaccard, licences, mixing, rules, secrets
 
 _ALL = {
     "op1_quality_rules": rules,
     "op3_ngram_jaccard": jaccard,
+    "op4_decontamination": decontaminate,
     "op5_mixing": mixing,
     "op7_secret_scan": secrets,
     "op8_license_scan": licences,
