@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import decontaminate, jaccard, licences, mixing, rules, secrets
+from . import decontaminate, jaccard, licences, lines, mixing, rules, secrets
 
 _ALL = {
     "op1_quality_rules": rules,
@@ -9,6 +9,7 @@ _ALL = {
     "op5_mixing": mixing,
     "op7_secret_scan": secrets,
     "op8_license_scan": licences,
+    "op9_line_dedup": lines,
 }
 
 
