@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import decontaminate, jaccard, licences, lines, mixing, rules, secrets
+from . import decontaminate, jaccard, licences, lines, mixing, rules, secrets, substrings
 
 _ALL = {
     "op1_quality_rules": rules,
@@ -10,6 +10,7 @@ _ALL = {
     "op7_secret_scan": secrets,
     "op8_license_scan": licences,
     "op9_line_dedup": lines,
+    "op10_suffix_dedup": substrings,
 }
 
 
