@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import decontaminate, jaccard, licences, lines, mixing, rules, secrets, substrings
+from . import decontaminate, extract, jaccard, licences, lines, mixing, rules, secrets, substrings
 
 _ALL = {
     "op1_quality_rules": rules,
+    "op2_html_extraction": extract,
     "op3_ngram_jaccard": jaccard,
     "op4_decontamination": decontaminate,
     "op5_mixing": mixing,
