@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import decontaminate, extract, jaccard, licences, lines, mixing, rules, secrets, substrings
+from . import decontaminate, extract, jaccard, licences, lines, mixing, quality, rules, secrets, substrings
 
 _ALL = {
     "op1_quality_rules": rules,
@@ -8,6 +8,7 @@ _ALL = {
     "op3_ngram_jaccard": jaccard,
     "op4_decontamination": decontaminate,
     "op5_mixing": mixing,
+    "op6_quality_classifier": quality,
     "op7_secret_scan": secrets,
     "op8_license_scan": licences,
     "op9_line_dedup": lines,
