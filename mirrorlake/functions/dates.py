@@ -32,8 +32,6 @@ def said_plainly(text) -> Column:
     date = F.format_string("%s %d, %d", F.element_at(F.array(*map(F.lit, MONTHS)), F.greatest(F.least(month, F.lit(12)), F.lit(1))), day, year)
     half = F.when(hour < 12, "am").otherwise("pm")
     shown = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
-    clock = F.when(
-        (hour <= 23) & (minute <= 59) & (F.size(parts) >= 5) & (F.coalesce(second, F.lit(0)) <= 59),
-        F.when(F.size(parts) >= 6, F.format_string("%d:%02d:%02d %s", shown, minute, second, half)).otherwise(F.format_string("%d:%02d %s", shown, minute, half)),
-    )
+    second = F.least(F.coalesce(second, F.lit(0)), F.lit(59))
+    clock = F.when((hour <= 23) & (minute <= 59), F.format_string("%d:%02d:%02d %s", shown, minute, second, half))
     return F.when(good, F.concat_ws(", ", date, clock))
