@@ -8,7 +8,7 @@ of Jaccard similarity THRESHOLD or more; the earlier line need not itself have s
    where each set stands. Equal sets become one, known by a 64-bit hash, with their first place.
 2. A second pass orders the words of a line by rarity and sends its prefix, the first n - ceil(tn) + 1,
    to the partition of each prefix word, as packed arrays. There, sets that share a prefix word pass a
-   length filter, a positional filter and a bitmap filter (an upper bound of the overlap). What passes
+   length filter, a positional filter and one of binned word counts (a bound of the overlap). What passes
    is joined to groups; only a spanning forest leaves a partition.
 3. The lines of a group are read again and all their pairs verified on whole sets, in blocks of BLOCK.
    For each set only its earliest match leaves a block.
@@ -35,37 +35,48 @@ THRESHOLD = (4, 5)
 COUNTERS = 20
 BLOCK = 256
 #: Pairs that are filtered at once in a partition.
-PAIRS = 1 << 21
-#: Posting: word, set, bitmap of its words, words in it, place of the word.
-POSTING = np.dtype([("word", "<u8"), ("sid", "<i8"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
+PAIRS = 1 << 18
+#: Posting: word, set, counts of its words in BINS bins (4 bits each), words in it (MANY: that or more, no
+#: filter applies), place of the word.
+BINS = 32
+POSTING = np.dtype([("word", "<u4"), ("sid", "<i8"), ("counts", "u1", BINS // 2), ("n", "<u2"), ("at", "<u2")])
+MANY = 65535
+#: Bits of a word hash within a line.
+WORD = 44
+_WORD = U64((1 << WORD) - 1)
 
 
 def line_sets(data, offsets):
     """Distinct words of every line that counts: (line of each word, word hash), and of each line
     (row, line number in it, set hash, distinct words). Words stand grouped by line, sorted by hash."""
-    starts, ends, lo, _ = words(data, offsets)
+    none = np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 4
+    starts, ends, _, _ = words(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 4
-    h = range_hash(prefix_hash(data), starts, ends)
+        return none
     breaks = np.flatnonzero(data == 10)
     before = np.searchsorted(breaks, starts)
     row = np.searchsorted(offsets, starts, "right") - 1
-    line = before + row
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
-    h, line, row, before = h[first], line[first], row[order][first], before[order][first]
-    head = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    n = np.diff(np.r_[head, len(line)])
-    number = (before - np.searchsorted(breaks, offsets[row]))[head]
+    first = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (row[1:] != row[:-1])])
+    line = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(starts)]))
+    h = range_hash(prefix_hash(data), starts, ends) >> U64(64 - WORD)
+    if len(first) <= 1 << (64 - WORD):
+        key = line.astype(U64) << U64(WORD) | h
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        line, h = (key >> U64(WORD)).astype(np.int64), key & _WORD
+    else:  # a single text of very many lines
+        order = np.lexsort((h, line))
+        line, h = line[order], h[order]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
+        line, h = line[fresh], h[fresh]
+    n = np.bincount(line, minlength=len(first))
     good = n >= LEAST_TOKENS
-    use = np.repeat(good, n)
-    h, n, head_row, number = h[use], n[good], row[head][good], number[good]
-    if not len(n):
-        return np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 4
-    where = np.repeat(np.arange(len(n)), n)
+    if not good.any():
+        return none
+    h, n, first = h[np.repeat(good, n)], n[good], first[good]
+    row = row[first]
     sid = mix(np.add.reduceat(mix(h), np.r_[0, np.cumsum(n)[:-1]]) + n.astype(U64)).astype(np.int64)
-    return where, h, head_row, number, sid, n
+    return np.repeat(np.arange(len(n)), n), h, row, before[first] - np.searchsorted(breaks, offsets[row]), sid, n
 
 
 def _count_and_list(batches):
@@ -77,14 +88,14 @@ def _count_and_list(batches):
         data, offsets = column(batch, "text")
         for lo, part, offs in slices(data, offsets):
             _, h, row, number, sid, n = line_sets(part, offs)
-            counts += np.bincount((h >> U64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+            counts += np.bincount((h >> U64(WORD - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
             at = pa.array(row + lo, pa.int64())
             none = len(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(sid), pa.array(n.astype(np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema
             )
     if doc is not None:
-        parts = counts.astype("<i8").reshape(64, -1)
+        parts = counts.astype("<i4").reshape(64, -1)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(64, doc), *[pa.nulls(64, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())], pa.array(np.arange(64, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], schema
         )
@@ -95,27 +106,38 @@ def _add_up(batches):
     sums = {}
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(blob, "<i8")
+            got = np.frombuffer(blob, "<i8" if len(blob) > 4 << (COUNTERS - 6) else "<i4").astype(np.int64)
             sums[part] = sums[part] + got if part in sums else got
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "blob"])
 
 
-def _post(counts, parts):
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts in 256 steps of a logarithm, rarest first."""
+    return np.minimum(255, np.log2(np.maximum(1, counts)) * 8).astype(np.uint8)
+
+
+def _binned(line, h, plain, n):
+    """For each line the numbers of its words, without the plain (very common) ones, in BINS bins, two to a
+    byte. The sum of the differences of two lines is at most the number of words that only one has."""
+    got = np.bincount((line * BINS + (h & U64(BINS - 1)).astype(np.int64))[~plain], minlength=len(n) * BINS)
+    got = np.minimum(got, 15).astype(np.uint8).reshape(len(n), BINS)
+    return got[:, ::2] | got[:, 1::2] << 4
+
+
+def _post(ranks, common, parts):
     """Prefix postings of the distinct sets of each slice, packed by partition of the word."""
 
     def post(batches):
         held = []
 
         def flush():
-            rows = np.unique(np.concatenate(held)) if held else np.zeros(0, POSTING)
-            part = (mix(rows["word"] ^ U64(77)) % U64(parts)).astype(np.int32)
+            rows, part = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
-            cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
-            cuts = cuts[:-1] if not len(part) else cuts
+            cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
             blobs = [rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].tolist(), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in batches:
             data, offsets = column(batch, "text")
@@ -123,23 +145,30 @@ def _post(counts, parts):
                 line, h, _, _, sid, n = line_sets(piece, offs)
                 if not len(n):
                     continue
-                _, one = np.unique(sid, return_index=True)
+                one = np.sort(np.unique(sid, return_index=True)[1])
                 chosen = np.zeros(len(n), bool)
                 chosen[one] = True
-                bits = np.bitwise_or.reduceat(U64(1) << (h >> U64(20) & U64(63)), np.r_[0, np.cumsum(n)[:-1]])
-                use = chosen[line]
-                line, h = line[use], h[use]
-                order = np.lexsort((h, counts.value[(h >> U64(64 - COUNTERS)).astype(np.int64)], line))
-                line, h = line[order], h[order]
-                head = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                at = np.arange(len(line)) - np.repeat(head, np.diff(np.r_[head, len(line)]))
+                h, n, sid = h[chosen[line]], n[one], sid[one]
+                line = np.repeat(np.arange(len(n)), n)
+                rank = ranks.value[(h >> U64(WORD - COUNTERS)).astype(np.int64)]
+                binned = _binned(line, h, rank >= common, n)
+                name = rank.astype(U64) << U64(WORD - 8) | h >> U64(8)
+                if len(n) <= 1 << (64 - WORD):
+                    key = line.astype(U64) << U64(WORD) | name
+                    key.sort()
+                    name = key & _WORD
+                else:
+                    name = name[np.lexsort((name, line))]
+                at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
                 prefix = n - (THRESHOLD[0] * n + THRESHOLD[1] - 1) // THRESHOLD[1] + 1
                 use = at < prefix[line]
-                rows = np.empty(int(use.sum()), POSTING)
                 line = line[use]
-                rows["word"], rows["sid"], rows["bits"], rows["n"], rows["at"] = h[use], sid[line], bits[line], n[line], at[use]
-                held.append(rows)
-                if sum(map(len, held)) > 1 << 19:
+                rows = np.empty(len(line), POSTING)
+                name, many = mix(name[use]), n >= MANY
+                rows["word"], rows["sid"], rows["counts"] = name >> U64(32), sid[line], binned[line]
+                rows["n"], rows["at"] = np.minimum(n, MANY)[line], np.where(many[line], 0, at[use])
+                held.append((rows, (name % U64(parts)).astype(np.int32)))
+                if sum(len(x) for x, _ in held) > 1 << 18:
                     yield flush()
                     held = []
         if held:
@@ -169,8 +198,9 @@ def stars(a, b, n):
 
 def near(rows):
     """Links (a, b) of the sets that share a prefix word and pass the filters: a forest, as places in sids."""
-    rows = np.sort(rows, order=["word", "n", "sid"])
-    rows = rows[np.r_[True, (rows["word"][1:] != rows["word"][:-1]) | (rows["sid"][1:] != rows["sid"][:-1])]]
+    both = mix(rows["word"].astype(U64) * U64(0x9E3779B97F4A7C15) ^ rows["sid"].astype(U64))
+    rows = rows[np.unique(both, return_index=True)[1]]
+    rows = rows[np.lexsort((rows["n"], rows["word"]))]
     end = np.flatnonzero(np.r_[rows["word"][1:] != rows["word"][:-1], True]) + 1
     size = np.diff(np.r_[0, end])
     last = np.repeat(end, size)
@@ -178,9 +208,11 @@ def near(rows):
     # a set meets those after it in the group: its length or more, up to what the length filter lets pass
     n = rows["n"].astype(np.int64)
     word = np.repeat(np.arange(len(size)), size)
-    reach = np.searchsorted(word * (1 << 33) + n, word * (1 << 33) + n * THRESHOLD[1] // THRESHOLD[0], "right")
+    most = np.where(n * THRESHOLD[1] // THRESHOLD[0] >= MANY, MANY, n * THRESHOLD[1] // THRESHOLD[0])
+    reach = np.searchsorted(word * (1 << 17) + n, word * (1 << 17) + most, "right")
     count = np.minimum(reach, last) - np.arange(len(rows)) - 1
     root = np.arange(len(ids))
+    binned = np.concatenate([rows["counts"] & 15, rows["counts"] >> 4], axis=1).astype(np.int8)
     lo, total = 0, np.cumsum(count)
     while lo < len(rows):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
@@ -191,8 +223,10 @@ def near(rows):
             sum_n = n[left] + n[right]
             need = (THRESHOLD[0] * sum_n + THRESHOLD[0] + THRESHOLD[1] - 1) // (THRESHOLD[0] + THRESHOLD[1])
             rest = np.minimum(n[left] - rows["at"][left], n[right] - rows["at"][right])
-            apart = np.bitwise_count(rows["bits"][left] ^ rows["bits"][right])
-            fits = (rest + np.minimum(rows["at"][left], rows["at"][right]) >= need) & (2 * need + apart <= sum_n)
+            fits = (rest + np.minimum(rows["at"][left], rows["at"][right]) >= need) | (n[right] == MANY)
+            left, right, spare = left[fits], right[fits], (sum_n - 2 * need)[fits]
+            apart = np.abs(binned[left] - binned[right]).sum(axis=1)
+            fits = (apart <= spare) | (n[right] == MANY)
             a, b = name[left[fits]], name[right[fits]]
             if len(a):
                 have = np.flatnonzero(root != np.arange(len(ids)))
@@ -280,12 +314,16 @@ def removed(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     counts = np.zeros((64, (1 << COUNTERS) // 64), np.int64)
     for r in sums:
         counts[r.part] = np.frombuffer(r.blob, "<i8")
-    counts = spark.sparkContext.broadcast(counts.reshape(-1))
+    counts = counts.reshape(-1)
     places = seen.where("part is null").select("doc_id", "th", "line", "sid", "n")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
     first = stash(places.groupBy("sid").agg(F.min(place).alias("first")), "first")
+    ranks = rarity(counts)
+    # words in more than one of a hundred lines tell little, so the bins leave them out
+    common = int(rarity(np.array([max(100, counts.sum() // 4000)]))[0])
+    ranks = spark.sparkContext.broadcast(ranks)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    posted = rows.select("text").mapInArrow(_post(counts, parts), "part int, blob binary")
+    posted = rows.select("text").mapInArrow(_post(ranks, common, parts), "part int, blob binary")
     posted = posted.repartition(parts, "part").sortWithinPartitions("part")
     groups = components(posted.mapInArrow(_meet, "a long, b long"), "linegroups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))

@@ -9,7 +9,7 @@ _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE = 1 << 22
+SLICE = 1 << 19
 
 #: True for bytes of words: other than space, tab, line feed, vertical tab, form feed, carriage return.
 PLAIN = np.ones(256, bool)
