@@ -358,6 +358,58 @@ def said_plainly(spark, d):
     return _t(spark, d, "events").select("event_id", dates.said_plainly(F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).alias("said"))
 
 
+# ---- kernels (rows only; tests hold their results) ----------------------------------------------------
+
+
+def _picture(words, side=96):
+    """A picture of grey boxes drawn from 64 numbers."""
+    import numpy as np
+
+    cells = np.array(words, np.float64).reshape(8, 8)
+    cells = (cells - cells.min()) / max(1e-9, np.ptp(cells)) * 215 + 20
+    return np.repeat(np.kron(cells, np.ones((side // 8, side // 8))).astype(np.uint8)[..., None], 3, 2)
+
+
+@_query()
+def image_scan(spark, d):
+    """A PNG is made of every embedding and goes through detection, decoding and fingerprinting."""
+    import pyarrow as pa
+
+    def run(batches):
+        from mirrorlake.functions.decode import write_png
+        from mirrorlake.plans.scan import look
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                got = look(write_png(_picture(r["embedding"])), {"vec_id": r["vec_id"]}, "")
+                row = {"vec_id": r["vec_id"], "outcome": got["outcome"], "format": got["format"], "width": got["width"], "height": got["height"], "dct_hashes": got["dct_hashes"].hex(), "n_corners": len(got["corners"]) // 36}
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("vec_id", pa.int64()), ("outcome", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("dct_hashes", pa.string()), ("n_corners", pa.int32())])
+    return _t(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, outcome string, format string, width int, height int, dct_hashes string, n_corners int")
+
+
+@_query()
+def corner_agreement(spark, d):
+    """Agreeing corners of a picture made of every embedding with a shifted crop of it, and with its negative."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        from mirrorlake.functions import kernels
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                whole = kernels.luma(_picture(r["embedding"], 160))
+                sides = [kernels.features(x) for x in (whole, whole[12:, 20:], 255 - whole)]
+                arrays = [(np.array([p[:2] for p in s], np.float32).reshape(-1, 2), np.array([np.frombuffer(p[2], "<u8") for p in s]).reshape(-1, 4)) for s in sides]
+                row = {"vec_id": r["vec_id"], "crop": kernels.agreement(arrays[0], arrays[1]), "negative": kernels.agreement(arrays[0], arrays[2])}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("vec_id", pa.int64()), ("crop", pa.int32()), ("negative", pa.int32())]))
+
+    return _t(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, crop int, negative int")
+
+
 def queries():
     return dict(_Q)
 
