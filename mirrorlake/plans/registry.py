@@ -362,12 +362,14 @@ def said_plainly(spark, d):
 
 
 def _picture(words, side=96):
-    """A picture of grey boxes drawn from 64 numbers."""
+    """A picture of overlapping grey boxes drawn by a sequence that the 64 numbers start."""
     import numpy as np
 
-    cells = np.array(words, np.float64).reshape(8, 8)
-    cells = (cells - cells.min()) / max(1e-9, np.ptp(cells)) * 215 + 20
-    return np.repeat(np.kron(cells, np.ones((side // 8, side // 8))).astype(np.uint8)[..., None], 3, 2)
+    draw = np.random.default_rng(np.frombuffer(np.array(words, np.float32).tobytes(), np.uint32))
+    out = np.full((side, side), 128, np.uint8)
+    for y, x, h, w, grey in zip(*(draw.integers(lo, hi, side * side // 160) for lo, hi in ((0, side), (0, side), (6, side // 3), (6, side // 3), (20, 236))), strict=True):
+        out[y : y + h, x : x + w] = grey
+    return np.repeat(out[..., None], 3, 2)
 
 
 @_query()
