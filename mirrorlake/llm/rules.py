@@ -12,7 +12,7 @@ through untouched; repeated rows are judged each; an empty table gives an empty
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, let, table, words_sql
@@ -72,29 +72,29 @@ def with_words(docs: DataFrame, text="text", words="words") -> DataFrame:
     return docs.withColumn(words, F.expr(words_sql(f"`{text}`")))
 
 
-def plan_cascade(docs: DataFrame, checks: dict[str, str], sample_rows=SAMPLE_ROWS) -> list[str]:
+def plan_cascade(docs: DataFrame, checks: dict[str, str], text="text", sample_rows=SAMPLE_ROWS) -> list[str]:
     """Names of the rules by rejections per second on the sample, most first. The limit is taken from
     the first partitions only; each rule returns one boolean a row."""
-    head = docs.limit(sample_rows)
+    head = docs.select(F.col(text).alias("text")).limit(sample_rows)
     rate = {}
     for name, sql in checks.items():
         began = time.perf_counter()
-        got = head.select(F.expr(sql).alias("x")).collect()
+        got = head.select(F.expr(let("words", words_sql("text"), f"({sql})")).alias("x")).collect()
         rate[name] = (sum(bool(r.x) for r in got) + 0.5) / (len(got) + 1) / max(time.perf_counter() - began, 1e-3)
     return sorted(checks, key=lambda name: -rate[name])
 
 
-def verdict(checks: dict[str, str], order: list[str]) -> Column:
-    """True where no rule rejects; a CASE, so rules after the first rejection are not evaluated."""
-    return F.expr("case " + " ".join(f"when {checks[name]} then false" for name in order) + " else true end")
+def cascade(checks: dict[str, str], order: list[str]) -> str:
+    """SQL that is true where no rule rejects; a CASE, so rules after the first rejection are not evaluated."""
+    return "case " + " ".join(f"when {checks[name]} then false" for name in order) + " else true end"
 
 
 def filter_documents(docs: DataFrame, text="text") -> DataFrame:
-    """The rows that every rule keeps, with the columns of docs."""
-    words = "__words"
-    checks = rules(f"`{text}`", words)
-    rows = with_words(docs, text, words)
-    return rows.where(verdict(checks, plan_cascade(rows, checks))).select(*[f"`{c}`" for c in docs.columns])
+    """The rows that every rule keeps, with the columns of docs. The words are bound inside the predicate,
+    because the optimizer moves a filter below the projection that would hold them."""
+    checks = rules(f"`{text}`", "words")
+    order = plan_cascade(docs, rules(), text)
+    return docs.where(F.expr(let("words", words_sql(f"`{text}`"), cascade(checks, order))))
 
 
 def report(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
@@ -109,8 +109,8 @@ def report(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
         "dup_lines": f"100 * n_dup_lines > {MOST_DUP_LINES} * (1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), '\\n', '')))",
         "word_length": f"word_chars < {MEAN_WORD[0]} * n_words or word_chars > {MEAN_WORD[1]} * n_words",
     }
-    order = plan_cascade(with_words(docs.select(F.col(text).alias("text"))), rules())
-    return rows.select("doc_id", *METRICS, failed.alias("base_failed"), verdict(checks, order).alias("kept"))
+    order = plan_cascade(docs, rules(), text)
+    return rows.select("doc_id", *METRICS, failed.alias("base_failed"), F.expr(cascade(checks, order)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
