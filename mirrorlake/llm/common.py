@@ -1,10 +1,11 @@
 """What several operators share: reading tables, tables in the shared folder, SQL snippets."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from mirrorlake.sources.shared import drop_stash, shared_dir, stash
+
+__all__ = ["SPACE", "WORD", "drop_stash", "let", "shared_dir", "stash", "table", "words_sql"]
+
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\\x20\\x09-\\x0D]+"
 SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -22,28 +23,3 @@ def let(name: str, value: str, body: str) -> str:
 def words_sql(text: str) -> str:
     """SQL for the array of words of a text; null gives an empty array."""
     return f"array_remove(split(coalesce({text}, ''), '{SPACE}'), '')"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only if none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mirrorlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mirrorlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Remove a table that stash wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,33 +1,11 @@
-"""Connected components and block pairs over DataFrames: no group of any size meets in one task."""
+"""Block pairs of groups: no group of any size meets in one task. Components are the library's."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, stash
+from mirrorlake.operators.components import components
 
-
-def components(edges: DataFrame, name="components") -> DataFrame:
-    """edges (a, b) -> (node, root): root is the least node of the component; nodes without edges are not listed.
-
-    Alternating large-star and small-star steps until nothing changes; each round is a table in the
-    shared folder. Hub nodes meet in sort-merge joins, whose hot keys adaptive execution splits."""
-    now = stash(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    state = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).union(small.where("v != m").select(F.col("v"), F.col("m"))).distinct()
-        after = stash(small, name)
-        drop_stash(now)
-        now = after
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
-        if seen == state:
-            break
-        state = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+__all__ = ["block_pairs", "components"]
 
 
 def block_pairs(rows: DataFrame, group: str, n: str, node: str, most: int) -> DataFrame:
