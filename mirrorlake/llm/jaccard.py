@@ -12,8 +12,8 @@
    whole sets (blocks again). Only degrees and a spanning forest leave a block, never all pairs.
 5. Verified links give the classes by connected components.
 
-Defined cases: a text without words (null, empty) is alone in its class and has no links; fewer than five
-words make one shingle; repeated rows and rows with equal sets are one class and link to each other;
+Defined cases: texts without words (null, empty, white space) have the empty set and so are copies of one
+another; fewer than five words make one shingle; repeated rows and rows with equal sets are one class and link to each other;
 null ids take part, and class_id is the least id that is not null; very long texts are used whole;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -91,7 +91,7 @@ def _signer(runs: int):
                         rows.column(rows.schema.get_field_index("doc_id")),
                         rows.column(rows.schema.get_field_index("th")),
                         pa.array(n),
-                        pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([set_id(s) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, runs, dtype=np.int32)), pa.array(keys.reshape(-1))),
                         pa.array([x.tobytes() for x in small], pa.binary()),
                     ],
@@ -245,10 +245,10 @@ def join(docs: DataFrame, text="text", doc_id="doc_id", recall=RECALL) -> DataFr
     kind = rows.schema["doc_id"].dataType.simpleString()
     signed = stash(rows.mapInArrow(_signer(runs_needed(recall=recall)), f"doc_id {kind}, th long, n int, sid binary, keys array<bigint>, marks binary"), "signed")
     sets = stash(
-        signed.where("n > 0")
-        .groupBy("sid")
+        signed.groupBy("sid")
         .agg(
             F.count("*").alias("copies"),
+            F.max("n").alias("n"),
             F.min("doc_id").alias("least_id"),
             F.min(F.struct("doc_id", "th")).alias("one"),
             F.first("keys").alias("keys"),
@@ -257,7 +257,7 @@ def join(docs: DataFrame, text="text", doc_id="doc_id", recall=RECALL) -> DataFr
         "sets",
     )
     # buckets with two sets or more
-    entries = sets.select("sid", F.explode("keys").alias("key")).distinct()
+    entries = sets.where("n > 0").select("sid", F.explode("keys").alias("key")).distinct()
     full = entries.groupBy("key").count().where("count > 1")
     members = entries.join(full, "key").join(sets.select("sid", "marks"), "sid")
     dealt = block_pairs(members, "key", "count", "sid", BLOCK).select("key", "x", "y", "mine", "sid", "marks")
@@ -281,18 +281,15 @@ def join(docs: DataFrame, text="text", doc_id="doc_id", recall=RECALL) -> DataFr
     names = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
     known = known.join(names, "root").select("sid", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     known = stash(known, "classes")
-    out = signed.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "sid").join(known, "sid", "left")
-    return out.select(
-        "doc_id", "th", "n_shingles", "sid", "root", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
-    )
+    out = signed.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "sid").join(known, "sid")
+    return out.select("doc_id", "th", "n_shingles", "sid", "root", "class_id", F.col("links").cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """The row with the least id of each class, with the columns of docs. Texts without words all stay."""
+    """The row with the least id of each class, with the columns of docs."""
     found = join(docs, text, doc_id)
-    least = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     keep = least.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
-    keep = keep.union(found.where("root is null").select("doc_id", "th").distinct())
     rows = docs.withColumn("__h", F.xxhash64(text)).join(keep, (F.col("__h") == F.col("__th")) & F.col(doc_id).eqNullSafe(F.col("__id")))
     one = Window.partitionBy("__h", doc_id).orderBy("__th")
     return rows.withColumn("__no", F.row_number().over(one)).where("__no = 1").select(*[f"`{c}`" for c in docs.columns])
@@ -300,3 +297,21 @@ def keep_one(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+#: All pairs by their common shingles, and the classes by a recursive walk over the links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS gram FROM g),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.k < b.k GROUP BY a.k, b.k),
+l AS (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+      UNION ALL SELECT x.k, y.k FROM d x JOIN d y ON x.k < y.k AND len(x.w) = 0 AND len(y.w) = 0),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT r.a, min(x.doc_id) AS low FROM r JOIN d x ON x.k = r.b GROUP BY r.a),
+f AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, CASE WHEN m.low IS NULL THEN d.doc_id WHEN d.doc_id IS NULL THEN m.low ELSE least(m.low, d.doc_id) END AS class_id,
+       coalesce(f.links, 0)::BIGINT AS n_links, coalesce(n.n, 0)::BIGINT AS n_shingles
+FROM d LEFT JOIN m ON m.a = d.k LEFT JOIN f ON f.a = d.k LEFT JOIN n ON n.k = d.k"""

@@ -45,7 +45,6 @@ def test_stages_equal_brute_force(spark):
     gone = near_lines(rows)
     rows = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(g))) for (i, t), g in zip(rows, gone, strict=True)]
     roots, _ = near_copies(rows)
-    # texts without words are in no group
     rows = [r for k, r in enumerate(rows) if roots[k] == k]
     items = [r.text for r in table(spark, d, "benchmark").collect()]
     rows = [r for r in rows if not any(_holds(r[1], x) for x in items)]
