@@ -54,9 +54,8 @@ def line_sets(data, offsets):
     if not len(starts):
         return none
     breaks = np.flatnonzero(data == 10)
-    before = np.searchsorted(breaks, starts)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    first = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (row[1:] != row[:-1])])
+    of_line = np.searchsorted(np.union1d(offsets[:-1], breaks + 1), starts, "right")
+    first = np.flatnonzero(np.r_[True, of_line[1:] != of_line[:-1]])
     line = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(starts)]))
     h = range_hash(prefix_hash(data), starts, ends) >> U64(64 - WORD)
     if len(first) <= 1 << (64 - WORD):
@@ -74,9 +73,9 @@ def line_sets(data, offsets):
     if not good.any():
         return none
     h, n, first = h[np.repeat(good, n)], n[good], first[good]
-    row = row[first]
+    row = np.searchsorted(offsets, starts[first], "right") - 1
     sid = mix(np.add.reduceat(mix(h), np.r_[0, np.cumsum(n)[:-1]]) + n.astype(U64)).astype(np.int64)
-    return np.repeat(np.arange(len(n)), n), h, row, before[first] - np.searchsorted(breaks, offsets[row]), sid, n
+    return np.repeat(np.arange(len(n)), n), h, row, np.searchsorted(breaks, starts[first]) - np.searchsorted(breaks, offsets[row]), sid, n
 
 
 def _count_and_list(batches):
@@ -198,9 +197,10 @@ def stars(a, b, n):
 
 def near(rows):
     """Links (a, b) of the sets that share a prefix word and pass the filters: a forest, as places in sids."""
-    both = mix(rows["word"].astype(U64) * U64(0x9E3779B97F4A7C15) ^ rows["sid"].astype(U64))
-    rows = rows[np.unique(both, return_index=True)[1]]
-    rows = rows[np.lexsort((rows["n"], rows["word"]))]
+    # by word, then length; equal sets of a word stand together, so that one of them is left
+    order = np.argsort(rows["word"].astype(U64) << U64(32) | rows["n"].astype(U64) << U64(16) | rows["sid"].astype(U64) & U64(0xFFFF))
+    rows = rows[order]
+    rows = rows[np.r_[True, (rows["word"][1:] != rows["word"][:-1]) | (rows["sid"][1:] != rows["sid"][:-1])]]
     end = np.flatnonzero(np.r_[rows["word"][1:] != rows["word"][:-1], True]) + 1
     size = np.diff(np.r_[0, end])
     last = np.repeat(end, size)
@@ -213,20 +213,27 @@ def near(rows):
     count = np.minimum(reach, last) - np.arange(len(rows)) - 1
     root = np.arange(len(ids))
     binned = np.concatenate([rows["counts"] & 15, rows["counts"] >> 4], axis=1).astype(np.int8)
+    held = np.packbits(binned > 0, axis=1).view("<u4")[:, 0]
+    n, at = n.astype(np.int32), rows["at"].astype(np.int32)
+    after = n - at
+    needs = (THRESHOLD[0] * np.arange(2 * MANY + 1) + THRESHOLD[0] + THRESHOLD[1] - 1) // (THRESHOLD[0] + THRESHOLD[1])
+    needs = needs.astype(np.int32)
     lo, total = 0, np.cumsum(count)
+    count = count.astype(np.int32)
     while lo < len(rows):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
         c = count[lo:hi]
-        left = np.repeat(np.arange(lo, hi), c)
+        left = np.repeat(np.arange(lo, hi, dtype=np.int32), c)
         if len(left):
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+            right = left + 1 + (np.arange(len(left), dtype=np.int32) - np.repeat(np.cumsum(c, dtype=np.int32) - c, c))
+            many = n[right] == MANY
             sum_n = n[left] + n[right]
-            need = (THRESHOLD[0] * sum_n + THRESHOLD[0] + THRESHOLD[1] - 1) // (THRESHOLD[0] + THRESHOLD[1])
-            rest = np.minimum(n[left] - rows["at"][left], n[right] - rows["at"][right])
-            fits = (rest + np.minimum(rows["at"][left], rows["at"][right]) >= need) | (n[right] == MANY)
-            left, right, spare = left[fits], right[fits], (sum_n - 2 * need)[fits]
-            apart = np.abs(binned[left] - binned[right]).sum(axis=1)
-            fits = (apart <= spare) | (n[right] == MANY)
+            need = needs[sum_n]
+            fits = (np.minimum(after[left], after[right]) + np.minimum(at[left], at[right]) >= need) | many
+            left, right, many, spare = left[fits], right[fits], many[fits], (sum_n - 2 * need)[fits]
+            fits = (np.bitwise_count(held[left] ^ held[right]) <= spare) | many
+            left, right, many, spare = left[fits], right[fits], many[fits], spare[fits]
+            fits = (np.abs(binned[left] - binned[right]).sum(axis=1, dtype=np.int16) <= spare) | many
             a, b = name[left[fits]], name[right[fits]]
             if len(a):
                 have = np.flatnonzero(root != np.arange(len(ids)))
@@ -317,7 +324,7 @@ def removed(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     counts = counts.reshape(-1)
     places = seen.where("part is null").select("doc_id", "th", "line", "sid", "n")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
-    first = stash(places.groupBy("sid").agg(F.min(place).alias("first")), "first")
+    first = stash(places.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "first")
     ranks = rarity(counts)
     # words in more than one of a hundred lines tell little, so the bins leave them out
     common = int(rarity(np.array([max(100, counts.sum() // 4000)]))[0])
@@ -331,13 +338,16 @@ def removed(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     order = F.concat(F.col("first.none").cast("string"), F.when(F.col("first.doc_id") < 0, "0").otherwise("1"), F.lpad(F.hex(F.col("first.doc_id")), 16, "0"), F.lpad(F.hex(F.col("first.th").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lpad(F.hex("first.line"), 16, "0")) if kind in ("bigint", "int", "smallint", "tinyint") else F.to_json("first")
     wanted = wanted.select(F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th"), F.struct(F.col("node").alias("sid"), "root", "size", F.col("first.line").alias("line"), F.coalesce(order, F.lit("true")).alias("place")).alias("w"))
     wanted = wanted.groupBy("w_id", "w_th").agg(F.collect_list("w").alias("lines"))
-    texts = rows.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "lines")
+    # few texts are wanted, so they are the side that is hashed and the texts are not sorted
+    texts = rows.join(wanted.hint("shuffle_hash"), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "lines")
     sets = block_pairs(texts.mapInArrow(_read_sets, "sid long, root long, size long, place string, tokens binary"), "root", "size", "sid", BLOCK)
     sets = sets.select("root", "x", "y", "mine", "sid", "place", "tokens").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
     pairs = sets.mapInArrow(_earliest, "sid long, other long")
     better = pairs.join(first.select(F.col("sid").alias("other"), "first"), "other").groupBy("sid").agg(F.min("first").alias("before"))
-    bound = first.join(better, "sid", "left").select("sid", F.coalesce(F.least("first", "before"), "first").alias("bound"))
-    gone = places.join(bound, "sid").where(place > F.col("bound"))
+    # a set that stands once and matches no earlier one removes nothing
+    bound = first.join(better, "sid", "left").where("copies > 1 or before < first")
+    bound = bound.select("sid", F.coalesce(F.least("first", "before"), "first").alias("bound"))
+    gone = places.join(bound.hint("shuffle_hash"), "sid").where(place > F.col("bound"))
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
@@ -357,7 +367,7 @@ def dedup(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 def report(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers of every row."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.expr(f"coalesce(length(`{text}`) - length(replace(`{text}`, '\\n', '')) + 1, 0)").cast("long").alias("n_lines"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.expr(f"coalesce(octet_length(`{text}`) - octet_length(replace(`{text}`, '\\n', '')) + 1, 0)").cast("long").alias("n_lines"))
     gone = removed(docs, text, doc_id).alias("g")
     out = slim.join(gone, (F.col("h") == F.col("g.th")) & slim["doc_id"].eqNullSafe(F.col("g.doc_id")), "left")
     lines = F.coalesce("lines", F.array().cast("array<int>"))
@@ -365,4 +375,18 @@ def report(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"))
+    return report(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
+
+
+#: All pairs of lines by their common words.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT k, doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS l FROM d WHERE ls IS NOT NULL),
+t AS (SELECT k, doc_id, line, list_sort(list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS w FROM u),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS pos, dense_rank() OVER (ORDER BY w) AS s FROM t WHERE len(w) >= 5),
+s AS (SELECT s, any_value(w) AS w, min(pos) AS lead FROM o GROUP BY s),
+p AS (SELECT s, len(w) AS n, unnest(w) AS word FROM s),
+c AS (SELECT a.s AS a, b.s AS b, a.n AS n, b.n AS m, count(*) AS c FROM p a JOIN p b ON a.word = b.word AND a.s <> b.s AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY ALL),
+b AS (SELECT s.s, least(s.lead, coalesce(min(y.lead), s.lead)) AS bound FROM s LEFT JOIN c ON c.a = s.s AND 5 * c.c >= 4 * (n + m - c.c) LEFT JOIN s y ON y.s = c.b GROUP BY s.s, s.lead),
+g AS (SELECT k, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed FROM o JOIN b ON b.s = o.s WHERE pos > bound GROUP BY k)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN g ON g.k = d.k"""
