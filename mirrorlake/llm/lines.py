@@ -1,13 +1,14 @@
 """Operator 9: line dedup by an exact set-similarity join over lines.
 
-A line is the set of its words (lines of fewer than LEAST_TOKENS distinct words are left alone). A line goes
+A line is the set of its words, one word or more (LEAST_TOKENS); blank lines stay. A line goes
 when an earlier line, in order of (doc_id, hash of the text, line number) with null ids last, has a set
 of Jaccard similarity THRESHOLD or more; the earlier line need not itself have stayed.
 
 1. One pass counts the words of all lines (in COUNTERS hashed counters, so its size is fixed) and lists
    where each set stands. Equal sets become one, known by a 64-bit hash, with their first place.
 2. A second pass orders the words of a line by rarity and sends its prefix, the first n - ceil(tn) + 1,
-   to the partition of each prefix word, as packed arrays. There, sets that share a prefix word pass a
+   to the partition of each prefix word, as packed arrays. Sets of up to three words match equal sets only,
+   which step 1 has found, so they are not sent. There, sets that share a prefix word pass a
    length filter, a positional filter and one of binned word counts (a bound of the overlap). What passes
    is joined to groups; only a spanning forest leaves a partition.
 3. The lines of a group are read again and all their pairs verified on whole sets, in blocks of BLOCK.
@@ -30,7 +31,7 @@ from .graph import block_pairs, components
 from .jaccard import _groups, _pairs_of, common_counts
 from .packed import U64, column, mix, prefix_hash, range_hash, slices, words
 
-LEAST_TOKENS = 5
+LEAST_TOKENS = 1
 THRESHOLD = (4, 5)
 COUNTERS = 20
 BLOCK = 256
@@ -160,7 +161,11 @@ def _post(ranks, common, parts):
                     name = name[np.lexsort((name, line))]
                 at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
                 prefix = n - (THRESHOLD[0] * n + THRESHOLD[1] - 1) // THRESHOLD[1] + 1
-                use = at < prefix[line]
+                # as the threshold has it, a set this small has no other set near it
+                alone = (n * THRESHOLD[1] // THRESHOLD[0] == n) & ((THRESHOLD[0] * n + THRESHOLD[1] - 1) // THRESHOLD[1] == n)
+                use = (at < prefix[line]) & ~alone[line]
+                if not use.any():
+                    continue
                 line = line[use]
                 rows = np.empty(len(line), POSTING)
                 name, many = mix(name[use]), n >= MANY

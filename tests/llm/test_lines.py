@@ -67,3 +67,9 @@ def test_nulls_repeats_and_empty_table(spark):
     assert sorted((r.doc_id or 0, r.n_lines, r.removed) for r in got) == [(0, 1, [0]), (1, 0, []), (2, 1, []), (2, 1, []), (3, 1, []), (4, 2, [0])]
     assert sorted(r.text or "" for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == ["", "", "", line, line, "short"]
     assert lines.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_count(spark):
+    rows = [(1, "Home\nAll rights reserved.\n\na b c d e"), (2, "All rights reserved.\nHome\n\nb a c d\nAll rights"), (3, "x x x x x x\nx\na b c\nc b a")]
+    got = {r.doc_id: r.removed for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 1, 3], 3: [1, 3]}
