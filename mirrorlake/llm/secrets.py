@@ -1,8 +1,10 @@
 """Operator 7: secret scans by a battery of randomness tests.
 
 Plain patterns (assignments, access keys, long hex runs) give the base spans. The method looks at every
-run of SHORTEST or more token characters that no base span covers, infers its encoding (hex, base32,
-letters and digits, base64) and tests it for randomness over that alphabet:
+longest run of SHORTEST or more characters of one encoding, with the '=' that pad it, that no base span
+touches: a run of mixed token characters is cut at inner '=', and where it has '+' or '/' as well as '-' or
+'_' into the longest pieces in base64 and those in base64url, which may overlap. Of each it infers the
+encoding (hex, base32, letters and digits, base64) and tests it for randomness over that alphabet:
   - chi-squared uniformity of the characters (Wilson-Hilferty normal form),
   - a runs test of characters in the lower against the upper half of the alphabet,
   - serial correlation of neighbouring characters.
@@ -25,18 +27,21 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-SHORTEST = 24
+SHORTEST = 16
 ALPHA = 0.05
 #: -log10 of p-values in tenths, the last bin open.
 BINS = 200
 #: Lower ends of the length classes.
-LENGTHS = (24, 32, 40, 64, 128)
+LENGTHS = (16, 24, 32, 40, 64, 128)
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA([A-Z0-9]+))"
 HEX = r"([0-9a-f]{32,})"
-TOKEN = r"([A-Za-z0-9+/_=-]{%d,})" % SHORTEST
+#: Longest pieces in base64 (without those that are part of a longer one in base64url), and in base64url with - or _.
+_PAD = r"(?:=++(?![A-Za-z0-9+/_-]))?"
+TOKEN = r"((?<![A-Za-z0-9+/])(?:(?=[A-Za-z0-9]*+[+/])|(?<![_-])(?=[A-Za-z0-9]++(?![_-])))[A-Za-z0-9+/]{%d,}+%s)" % (SHORTEST, _PAD)
+TOKEN_URL = r"((?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*+[_-])[A-Za-z0-9_-]{%d,}+%s)" % (SHORTEST, _PAD)
 
 #: Encodings from narrow to wide, each with its characters in order.
 ENCODINGS = (
@@ -126,7 +131,7 @@ def _with_spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         F.expr(_spans("t", ASSIGN, 0, 2, 8)).alias("assign"),
         F.expr(_spans("t", ACCESS, 1, 1, 16)).alias("access"),
         F.expr(_spans("t", HEX, 2, 1, 32)).alias("hex"),
-        F.expr(_spans("t", TOKEN, 3, 1, SHORTEST)).alias("token"),
+        F.concat(F.expr(_spans("t", TOKEN, 3, 1, SHORTEST)), F.expr(_spans("t", TOKEN_URL, 3, 1, SHORTEST))).alias("token"),
     )
     base = F.array_sort(F.concat("assign", "access", "hex"))
     rows = rows.select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), base.alias("base"), "token")

@@ -44,3 +44,26 @@ def test_base_spans_equal_brute_force_and_random_tokens_are_found(spark, tmp_pat
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keys_inside_mixed_runs_are_tested(spark):
+    rnd = random.Random(11)
+    draw = lambda n, more: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    key, url, short = draw(20, "") + "/" + draw(19, ""), draw(20, "") + "-" + draw(19, ""), draw(20, "")
+    lead = ["AWS_SECRET_ACCESS_KEY=", "https://a.b/v1/", "see "]
+    tail = ["", "/x+y?a=b", "."]
+    rows = [(i, a + x + b) for i, (a, x, b) in enumerate(zip(lead, (key, url, short), tail, strict=True))] + [(3, "thethethethethethethe " * 9)]
+    got = {r.doc_id: [(x.start, x.end) for x in r.random] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate((key, url, short)):
+        assert (len(lead[i]), len(lead[i]) + len(x)) in got[i], (i, got[i])
+    assert got[3] == []
+
+
+def test_pieces_are_the_longest_of_each_encoding():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rnd.choice("aB1aB1aB1aB1aB1aB1aB1aB1aB1+/-_=. ") for _ in range(rnd.randint(1, 120)))
+        every = {m.span() for p in (r"[A-Za-z0-9+/]+", r"[A-Za-z0-9_-]+") for m in re.finditer(p, t)}
+        want = {x for x in every if x[1] - x[0] >= secrets.SHORTEST and not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in every)}
+        got = [(m.start(), m.start() + len(m[0].rstrip("="))) for p in (secrets.TOKEN, secrets.TOKEN_URL) for m in re.finditer(p, t)]
+        assert len(got) == len(set(got)) and set(got) == want, t
