@@ -3,13 +3,17 @@
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters. Each mask names the word
 positions of a window that count and ignores the others, so a window still matches when an ignored word
 was substituted. The masked hashes of all benchmark items are joined with those of every text; each hit
-gives an offset diagonal, along which the item is compared with the text word by word. The best run
-(a match counts 1, a substitution -SUBSTITUTION) must hold LEAST_WORDS matching words and LEAST_SHARE of the item.
+gives an offset diagonal, along which the item is compared with the text word by word. Its runs (a match
+counts 1, a substitution -SUBSTITUTION) are those of positive score that cannot be made better; runs of WEIGHT
+matching words or more count. Runs in order on diagonals up to NEAR apart add up, so words put in or left out do
+not end an overlap. It is reported when a single run holds ENOUGH matching words, or when all of it holds
+LEAST_SHARE of the item and LEAST_WORDS words, or the whole item where that is shorter.
 
 The benchmark side goes to the executors only while it is below MOST_BYTES of text; a larger one is cut
 into blocks below that bound and the table is streamed past each. Texts are never shuffled.
 
-Defined cases: null or empty texts hold nothing; items of fewer than WEIGHT words are never sought; null
+Defined cases: null or empty texts hold nothing; items of fewer than WEIGHT words are never sought, nor runs
+without a window of WEIGHT words in agreement with a mask; null
 ids are returned as null; repeated rows are judged each; an item twice in a text is one row (the best
 overlap, the first of equals); very long texts are scanned whole; empty tables give no rows.
 """
@@ -30,6 +34,8 @@ WEIGHT = 6
 SUBSTITUTION = 2
 LEAST_WORDS = 8
 LEAST_SHARE = 0.4
+ENOUGH = 13
+NEAR = 8
 MOST_BYTES = 64 << 20
 _FILTER_BITS = 22
 
@@ -49,6 +55,44 @@ def _hashes(data, offsets):
     return (range_hash(prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, U64)), lo, hi
 
 
+def _runs(same: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, last, matches) of the best run, then of the best ones before and after it, of WEIGHT matches or more."""
+    out, left = [], [(0, len(same))]
+    while left:
+        lo, hi = left.pop()
+        if hi - lo < WEIGHT or np.count_nonzero(same[lo:hi]) < WEIGHT:
+            continue
+        total = np.cumsum(np.where(same[lo:hi], 1, -SUBSTITUTION))
+        low = np.minimum.accumulate(np.r_[0, total])[:-1]
+        end = int((total - low).argmax())
+        begin = int(np.flatnonzero(np.r_[0, total][: end + 1] == low[end])[-1])
+        found = int(np.count_nonzero(same[lo + begin : lo + end + 1]))
+        if found >= WEIGHT:
+            out.append((lo + begin, lo + end, found))
+        # a run of few matches may score above one of WEIGHT with substitutions, so the search goes on
+        left += [(lo, lo + begin), (lo + end + 1, hi)]
+    return out
+
+
+def _overlap(runs: list[tuple[int, int, int, int]], size: int) -> tuple[int, int, int] | None:
+    """(matches, first, last word in the texts) of the best overlap that is to be reported, of runs (first, last word
+    of the item, shift of the text, matches). Words that two runs share count once."""
+    chains, best = {}, None
+    for begin, end, shift, found in sorted(runs):
+        got, start, most = found, begin + shift, found
+        for other in range(shift - NEAR, shift + NEAR + 1):
+            for b, e, total, at, longest in chains.get(other, ()):
+                if b < begin and e < end and b + other < begin + shift and e + other < end + shift:
+                    more = total + found - max(0, e + 1 - begin, e + other + 1 - begin - shift)
+                    if (more, -at) > (got, -start):
+                        got, start, most = more, at, max(found, longest)
+        chains.setdefault(shift, []).append((begin, end, got, start, most))
+        if most >= ENOUGH or (got >= min(LEAST_WORDS, size) and got >= LEAST_SHARE * size):
+            if best is None or (-got, start) < (-best[0], best[1]):
+                best = got, start, end + shift
+    return best
+
+
 class Seeds:
     """The items' word hashes and, for each mask, their sorted window hashes with a bit filter before them."""
 
@@ -84,22 +128,19 @@ class Seeds:
             p, a, n, row = p[fits], a[fits], n[fits], row[fits]
             entry = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
             seen.append(np.stack([np.repeat(row, n), owner[entry], np.repeat(p, n) - at[entry]], 1))
-        best = {}
+        runs = {}
         for row, item, shift in np.unique(np.concatenate(seen), axis=0).tolist() if seen else []:
             # words of the item that the text has room for on this diagonal
             first = max(self.lo[item], lo[row] - shift)
             last = min(self.hi[item], hi[row] - shift)
             same = self.hashes[first:last] == h[first + shift : last + shift]
-            total = np.cumsum(np.where(same, 1, -SUBSTITUTION))
-            low = np.minimum.accumulate(np.r_[0, total])[:-1]
-            end = int((total - low).argmax())
-            begin = int(np.flatnonzero(np.r_[0, total][: end + 1] == low[end])[-1])
-            found = int(same[begin : end + 1].sum())
-            if found >= LEAST_WORDS and found >= LEAST_SHARE * (self.hi[item] - self.lo[item]):
-                got = (found, int(first + begin + shift - lo[row]), int(first + end + shift - lo[row]))
-                key = (row, item)
-                if key not in best or (-got[0], got[1]) < (-best[key][0], best[key][1]):
-                    best[key] = got
+            for begin, end, found in _runs(same):
+                runs.setdefault((row, item), []).append((int(first) + begin, int(first) + end, shift, found))
+        best = {}
+        for (row, item), some in runs.items():
+            size = int(self.hi[item] - self.lo[item])
+            if got := _overlap(some, size):
+                best[row, item] = got[0], int(got[1] - lo[row]), int(got[2] - lo[row])
         return [(r, i, *x) for (r, i), x in sorted(best.items())]
 
 

@@ -44,3 +44,28 @@ def test_spans_point_at_the_words(spark):
 
     raw = text.encode()
     assert s.find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) == [(0, 0, 10, 4, 13)]
+
+
+def _found(item, text):
+    import numpy as np
+
+    raw = text.encode()
+    return [(n, a, b) for _, _, n, a, b in dc.Seeds([(1, item)]).find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))]
+
+
+def test_short_items_long_runs_and_inserted_words():
+    words = lambda n, mark="w": [f"{mark}{k}" for k in range(n)]
+    around = " ".join(words(30, "x"))
+    for size, taken in ((6, 6), (7, 7), (59, 23), (300, 100)):
+        item = words(size)
+        at = (size - taken) // 2
+        assert _found(" ".join(item), f"{around} {' '.join(item[at : at + taken])} {around}") == [(taken, 30, 29 + taken)], size
+    item = words(60)
+    split = [*item[:20], "new", *item[20:40], "new", *item[40:]]
+    assert _found(" ".join(item), f"{around} {' '.join(split)}") == [(60, 30, 91)]
+    # parts of 12 words with a word put in or left out between them, none of them enough by itself
+    parts = [*item[:12], "new", *item[12:24], *item[25:37], "new", *item[37:49]]
+    assert _found(" ".join(item), f"{around} {' '.join(parts)}") == [(48, 30, 79)]
+    # far apart, a part of the item, and most of a short one do not count
+    assert _found(" ".join(item), f"{' '.join(item[:12])} {around} {' '.join(item[12:24])}") == []
+    assert _found(" ".join(words(7)), f"{around} {' '.join(words(6))} {around}") == []
