@@ -3,7 +3,9 @@
 A page is read once into blocks (text between block-level tags) with what is known of each: open
 elements, their class and id words, share of link text, words, punctuation. A linear classifier gives
 each block a cost of being called boilerplate or content; these become the capacities to the two
-terminals. Neighbouring blocks, and blocks of one parent, are tied by smoothness edges. A maximum flow
+terminals. Elements such as nav and footer mark all they hold. Class and id words are weaker evidence, which
+a block can outweigh; they say nothing in body, main and article, in elements around the largest article (or
+main, where there is no article), or in one within it (or in a page without either) that holds nearly all its words. Neighbouring blocks, and blocks of one parent, are tied by smoothness edges. A maximum flow
 then cuts content from boilerplate at least total cost.
 
 Scripts, styles, heads, forms' controls and comments in markup are never text. Character references are
@@ -52,6 +54,10 @@ _SPACE = re.compile(r"\s+")
 #: The classifier: log-odds of content.
 W_BASE, W_WORDS, W_LINK, W_PARAGRAPH, W_SENTENCE = -0.8, 0.8, -6.0, 1.5, 0.5
 W_BODY, W_BODY_WORD, W_OUTSIDE, W_AWAY, W_HEADING = 4.0, 2.0, -3.0, -16.0, 1.5
+#: Within an element of an away word: this, and W_BODY does not count.
+W_AWAY_WORD = -5.0
+#: An element with this share of the words is the text itself, whatever its name.
+NEARLY_ALL = 0.8
 CLIP = 8.0
 #: Capacities of the smoothness edges: neighbours of one parent, other neighbours, nearest of one parent.
 TIE_NEAR, TIE_NEXT, TIE_PARENT = 0.9, 0.3, 0.6
@@ -64,11 +70,36 @@ def _words(attributes: str) -> set[str]:
     return out
 
 
+def _named_away(elements: list[tuple[str, int, bool, bool]], words: list[float]) -> list[bool]:
+    """Whether each element stands in one of an away word. elements: name, number of the parent (a lower one), away
+    by its tag or that of an outer one, away word; words: of the blocks right in each."""
+    total = [0.0 if e[2] else w for e, w in zip(elements, words, strict=True)]
+    for k in range(len(total) - 1, 0, -1):
+        total[elements[k][1]] += total[k]
+    core = 0
+    for kind in ("article", "main"):
+        found = [k for k, e in enumerate(elements) if e[0] == kind and total[k] > 0]
+        if found:
+            core = max(found, key=total.__getitem__)
+            break
+    around, k = {0, core}, core
+    while k:
+        k = elements[k][1]
+        around.add(k)
+    out, inside = [False], [core == 0]
+    for k, (name, up, _, word) in enumerate(elements[1:], 1):
+        inside.append(inside[up] or k == core)
+        word = word and name != "body" and name not in BODY and k not in around
+        out.append(out[up] or (word and not (inside[k] and total[k] >= NEARLY_ALL * total[core])))
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, log-odds of content, number of the parent element) of every block in page order."""
     out: list[list] = []
-    # open elements: name, away, body, body word, number
+    # open elements: name, away by a tag, body, body word, number
     stack = [("", False, False, False, 0)]
+    elements, held = [("", 0, False, False)], [0.0]
     count, link, parts, linked = 0, 0, [], 0
     has_body = False
 
@@ -77,9 +108,11 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if parts:
             text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
-                name, away, body, word, _ = stack[-1]
+                name, away, body, word, number = stack[-1]
                 outer = stack[-2][4] if len(stack) > 1 else 0
-                out.append([text, name, away, body, word, outer, min(1.0, linked / max(1, len(text)))])
+                links = min(1.0, linked / max(1, len(text)))
+                held[number] += (text.count(" ") + 1) * (1 - links)
+                out.append([text, name, away, body, word, outer, links, number])
             parts, linked = [], 0
 
     at, n = 0, len(page)
@@ -122,16 +155,19 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 words = _words(m[3]) if m[3] else ()
                 body = up[2] or name in BODY
                 has_body |= body
-                away = up[1] or name in AWAY or (name == "header" and not up[2]) or any(w in AWAY_WORDS for w in words)
+                away = up[1] or name in AWAY or (name == "header" and not up[2])
                 count += 1
+                elements.append((name, up[4], away, any(w in AWAY_WORDS for w in words)))
+                held.append(0.0)
                 stack.append((name, away, body, up[3] or any(w in BODY_WORDS for w in words), count))
     close()
+    named = _named_away(elements, held)
     done = []
-    for text, name, away, body, word, parent, links in out:
+    for text, name, away, body, word, parent, links, number in out:
         odds = W_BASE + W_WORDS * math.log1p(min(text.count(" ") + 1, 200)) + W_LINK * links
         odds += W_PARAGRAPH * (name in ("p", "pre", "blockquote")) + W_SENTENCE * (text[-1] in ".!?:;\"'»”)")
-        odds += W_BODY if body else W_OUTSIDE * has_body
-        odds += W_BODY_WORD * word + W_AWAY * away + W_HEADING * (name in HEADINGS and (body or word))
+        odds += W_BODY * (not named[number]) if body else W_OUTSIDE * has_body
+        odds += W_AWAY_WORD * named[number] + W_BODY_WORD * word + W_AWAY * away + W_HEADING * (name in HEADINGS and (body or word))
         done.append((text, max(-CLIP, min(CLIP, odds)), parent))
     return done
 

@@ -47,3 +47,22 @@ def test_nulls_repeats_and_empty_table(spark):
     got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 0), (2, 249999), (2, 249999)]
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_around_the_article_do_not_lose_it():
+    text = " ".join(f"word{k}" for k in range(200)) + "."
+    for page in (
+        '<body class="right-sidebar"><article><p>{}</p></article></body>',
+        '<body><div class="layout with-sidebar"><article><p>{}</p></article><div class="sidebar"><p>More to see over here.</p></div></div></body>',
+        '<body><article class="post has-comments"><p>{}</p></article></body>',
+        '<body><main id="content" class="no-sidebar"><div class="share-box">Share this.</div><p>{}</p></main></body>',
+        '<body class="has-header"><div class="layout with-sidebar"><p>{}</p><div class="sidebar"><p>More to see over here.</p></div></div></body>',
+        '<body><article><div class="reader-text"><p>{}</p></div><p class="share">Share it.</p></article></body>',
+        '<body><article><p>{}</p></article><div id="comments"><article class="comment"><p>I think so too, well said by them.</p></article></div></body>',
+    ):
+        assert extract.main_text(page.format(text)) == text, page
+    remark = "<p>I read all of this and I think it is a long and thoughtful remark by a reader.</p>"
+    assert extract.main_text(f'<body><main><article><p>{text}</p></article><section id="comments">{remark * 40}</section></main></body>') == text
+    # a long part is worth more than its name
+    two = f'<body><article><p>{text}</p><div class="related-work"><p>{text}</p></div></article></body>'
+    assert extract.main_text(two) == f"{text}\n{text}"
