@@ -217,7 +217,7 @@ def corner_bucket_candidates(spark, d):
     h = F.md5(F.concat(F.when(F.col("place") < 6, F.col("n")).otherwise(F.col("file_id").cast("string")), F.lit("/"), F.col("place").cast("string")))
     word = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
     rows = rows.withColumn("h", h).select("file_id", "place", F.array(word(2), word(18)).alias("words"))
-    return corners.bucket_pairs(rows, 6, 4000, total=120, tables=4)
+    return corners.bucket_pairs(rows, *corners.bucket_rule(rows.count()), total=120, tables=4)
 
 
 # ---- files, scores and sets --------------------------------------------------------------------------

@@ -129,3 +129,19 @@ def test_migration_and_notes(spark):
     n = notes.Notes(auto_rescan=True, auto_mark=True, within_a_folder=True, recurse=True).sound()
     assert not n.auto_rescan and not n.auto_mark and n.within_a_folder
     assert notes.read_settings(["a=1", "previous=/b", "previous=/A", "previous=/b", "junk"]) == ({"a": "1"}, ["/A", "/b"])
+
+
+def test_corner_query_follows_the_number_filed(spark, monkeypatch):
+    import pyspark.sql.functions as F
+
+    from mirrorlake.operators import corners
+    from mirrorlake.plans import registry
+
+    # 40,000 documents of evenly spread lengths
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 97 as int))").alias("text"))
+    monkeypatch.setattr(registry, "_t", lambda *_: docs)
+    asked = []
+    monkeypatch.setattr(corners, "bucket_pairs", lambda rows, bits, limit, **_: asked.append((bits, limit)) or rows)
+    registry.corner_bucket_candidates(spark, "")
+    filed = 8 * docs.count()
+    assert asked == [(corners.table_bits(filed), (filed >> corners.table_bits(filed)) * corners.BUCKET_LIMIT)] and asked[0] != (6, 4000)
