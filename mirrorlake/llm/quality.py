@@ -5,8 +5,9 @@ pairs of neighbouring byte classes, word count, mean word length and share of di
 learned layer h = tanh(xW + b). Gated attention a = softmax(w . (tanh(hV) * sigmoid(hU))) weighs the
 passages, and the weighted sum of h gives the score of the text. All of it is learned from document
 labels only, on a bounded sample: of the labelled rows whose crc32(id) mod FOLDS is not HELD_OUT, the
-TRAIN_ROWS with the least hash. Texts of the sample reach the driver only as features. Scoring is one pass
-without a shuffle; whole texts are used and the memory of a task does not depend on their number.
+TRAIN_ROWS with the least hash, one text of each id, and of each text TRAIN_PASSAGES passages at most, evenly
+spread. Texts of the sample reach the driver only as features. Scoring is one pass
+without a shuffle; all passages of all texts are used and the memory of a task does not depend on their number.
 
 Labels, lang, source and doc_id are no inputs of a score.
 
@@ -27,6 +28,8 @@ from .packed import column, prefix_hash, range_hash, slices, words
 PASSAGE = 64
 FOLDS, HELD_OUT = 4, 2
 TRAIN_ROWS = 3000
+#: Passages of a text that are trained on.
+TRAIN_PASSAGES = 256
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 256, 0.01, 1e-4
 CUT = 0.7
 
@@ -48,13 +51,14 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.r_[0, np.cumsum(n)]
     total = int(first[-1])
     out = np.zeros((total, FEATURES), np.float32)
-    if not len(starts):
+    if not total:
         return out, first
     row = np.repeat(np.arange(len(n)), n)
     rank = np.arange(total) - first[row]
     # where each passage begins: its first word, the first one of a row at the row's first byte
-    word = np.minimum(lo[row] + rank * PASSAGE, len(starts) - 1)
-    begin = np.where(rank == 0, offsets[:-1][row], starts[word])
+    begin = offsets[:-1][row]
+    later = rank > 0
+    begin[later] = starts[lo[row[later]] + rank[later] * PASSAGE]
     size = np.diff(np.r_[begin, len(data)])
     of_byte = np.repeat(np.arange(total), size)
     kind = _CLASS[data]
@@ -69,7 +73,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     chars = np.bincount(of_word, ends - starts, total)
     h = range_hash(prefix_hash(data), starts, ends)
     order = np.lexsort((h, of_word))
-    fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])]
+    fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])][: len(h)]
     distinct = np.bincount(of_word[order][fresh], minlength=total)
     out[:, -3] = count / PASSAGE
     out[:, -2] = chars / np.maximum(1, count) / 8
@@ -146,29 +150,39 @@ class Model:
         return self.forward(x, first)[0].astype(np.float64)
 
 
-def _encode(batches):
-    for batch in batches:
-        data, offsets = column(batch, "text")
-        blobs = []
-        for _, part, offs in slices(data, offsets, 1 << 20):
-            x, first = passages(part, offs)
-            x = x.astype(np.float16)
-            blobs += [x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), pa.array(blobs, pa.binary())], ["y", "x"])
+def _encode(most):
+    """The features of the passages of each text, most of them at most, evenly spread."""
+
+    def encode(batches):
+        for batch in batches:
+            data, offsets = column(batch, "text")
+            blobs = []
+            for _, part, offs in slices(data, offsets, 1 << 20):
+                x, first = passages(part, offs)
+                x = x.astype(np.float16)
+                for a, b in zip(first, first[1:], strict=False):
+                    blobs.append(x[np.linspace(a, b - 1, min(b - a, most)).round().astype(np.int64)].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "y", "h")), pa.array(blobs, pa.binary())], ["id", "y", "h", "x"])
+
+    return encode
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", label="quality", rows=TRAIN_ROWS) -> Model:
-    """Fit on at most rows labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id", label="quality", rows=TRAIN_ROWS, most=TRAIN_PASSAGES) -> Model:
+    """Fit on at most rows labelled documents outside the held-out fold, most passages of each."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("q")).where("id is not null and q is not null")
     known = known.groupBy("id").agg(F.round(F.avg("q")).cast("double").alias("y")).where(~held_out("id"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # at most rows ids and labels, so they may be broadcast
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").select("id", "y", "text")
-    got = texts.select("y", "text").mapInArrow(_encode, "y double, x binary").collect()
-    got = sorted(((r.x, r.y) for r in got), key=lambda r: (bytes(r[0]), r[1]))[: 2 * rows]
+    # of a repeated id the text with the least hash counts, so no more than rows texts reach the driver
+    chosen = texts.groupBy("id").agg(F.min(F.xxhash64("text")).alias("h"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    coded = texts.select("id", "y", F.xxhash64("text").alias("h"), "text").mapInArrow(_encode(most), f"id {kind}, y double, h long, x binary")
+    got = coded.dropDuplicates(["id", "h"]).join(F.broadcast(chosen), ["id", "h"]).select("x", "y").collect()
+    got = sorted(((r.x, r.y) for r in got), key=lambda r: (bytes(r[0]), r[1]))
     bags = [np.frombuffer(x, np.float16).reshape(-1, FEATURES) for x, _ in got]
     return Model().fit(bags, np.array([y for _, y in got], np.float32))
 

@@ -24,10 +24,10 @@ def test_gradients_match_differences():
 
 
 def test_passages_do_not_depend_on_neighbours():
-    texts = ["", "one two", "x " * 200, "é à", " lead and  trail ", ""]
+    texts = ["", "one two", "x " * 200, "é à", " lead and  trail ", " \n \t", ""]
     raw = [t.encode() for t in texts]
     both, first = quality.passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    assert np.diff(first).tolist() == [1, 1, 4, 1, 1, 1]
+    assert np.diff(first).tolist() == [1, 1, 4, 1, 1, 1, 1]
     for i, b in enumerate(raw):
         alone, _ = quality.passages(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
         assert np.allclose(both[first[i] : first[i + 1]], alone)
@@ -53,3 +53,13 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = quality.score(docs, quality.train(docs, none)).collect()
     assert [(r.score, r.predicted, r.held_out) for r in got if r.doc_id is None] == [(0.5, 0, False)] and len(got) == 4
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), none)).count() == 0
+
+
+def test_repeated_ids_and_long_texts_bound_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 10, f"text {i} " + "word " * 2000) for i in range(40)] + [(5, None)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id int, quality int")
+    held = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y: held.append((bags, y)) or self)
+    quality.train(docs, labels, most=3)
+    (bags, y), ids = held[0], [i for i in range(10) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(bags) == len(ids) == len(y) and max(map(len, bags)) <= 3
