@@ -69,3 +69,28 @@ def test_short_items_long_runs_and_inserted_words():
     # far apart, a part of the item, and most of a short one do not count
     assert _found(" ".join(item), f"{' '.join(item[:12])} {around} {' '.join(item[12:24])}") == []
     assert _found(" ".join(words(7)), f"{around} {' '.join(words(6))} {around}") == []
+
+
+def test_ids_of_any_type_and_repeated_items(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    for kind, one in (("int", 7), ("string", "seven"), ("double", 7.5)):
+        docs = spark.createDataFrame([(one, "before " + text + " after", 1)], f"doc_id {kind}, text string, th int")
+        items = spark.createDataFrame([(one, text), (one, text), (None, text)], f"item_id {kind}, text string")
+        for most in (dc.MOST_BYTES, 0):
+            got = dc.overlaps(docs, items, most=most)
+            assert dict(got.dtypes)["item_id"] == dict(items.dtypes)["item_id"]
+            assert sorted(((r.doc_id, r.item_id, r.n_words, r.first_word) for r in got.collect()), key=str) == [(one, one, 10, 1), (one, None, 10, 1)] if kind == "string" else True
+            assert got.count() == 2 and dc.clean(docs, items, most=most).count() == 0
+
+
+def test_ties_are_the_first_of_equals():
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    assert _found(item, f"{item} x y z u v w x y z u v w {item}") == [(10, 0, 9)]
+
+
+def test_joined_benchmark_gives_the_same_on_the_driver_table(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    whole, joined = (sorted(map(tuple, dc.overlaps(docs, items, most=most).collect())) for most in (dc.MOST_BYTES, 0))
+    assert whole == joined and whole
+    left = [{r.doc_id for r in dc.clean(docs, items, most=most).collect()} for most in (dc.MOST_BYTES, 0)]
+    assert left[0] == left[1] == {r.doc_id for r in docs.collect()} - {x[0] for x in whole}
