@@ -80,14 +80,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return g[anchor], whole, row, start - offsets[row], end - start + 1
 
 
-def _pieces(data, offsets, length):
+def _pieces(data, offsets, length, most):
     """(first row, place in the text, bytes, offsets): rows together, or pieces of a long row."""
-    for lo, part, offs in slices(data, offsets, 1 << 20):
-        if len(part) <= PIECE:
+    for lo, part, offs in slices(data, offsets, min(1 << 20, most)):
+        if len(part) <= most:
             yield lo, 0, part, offs
         else:
-            for a in range(0, len(part) - length + 1, PIECE):
-                piece = part[a : a + PIECE + length - 1]
+            for a in range(0, len(part) - length + 1, most):
+                piece = part[a : a + most + length - 1]
                 yield lo, a, piece, np.array([0, len(piece)])
 
 
@@ -115,19 +115,19 @@ def _settle(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, partner])
 
 
-def _cut(length, k, parts):
+def _cut(length, k, parts, flush, most):
     def cut(batches):
         held, size = [], 0
         for batch in batches:
             data, offsets = column(batch, "text")
             th, idh = batch.column(batch.schema.get_field_index("th")).to_numpy(), batch.column(batch.schema.get_field_index("idh")).to_numpy()
-            for lo, a, part, offs in _pieces(data, offsets, length):
+            for lo, a, part, offs in _pieces(data, offsets, length, most):
                 h, c, row, s, n = runs(part, offs, length, k)
                 rows = np.zeros(len(h), RUN)
                 rows["h"], rows["c"], rows["th"], rows["idh"], rows["s"], rows["n"] = h, c, th[lo + row], idh[lo + row], s + a, n
                 held.append(rows)
                 size += len(part)
-                if size > FLUSH:
+                if size > flush:
                     yield _pack(_settle(np.concatenate(held)), parts)
                     held, size = [], 0
         if held:
@@ -136,8 +136,17 @@ def _cut(length, k, parts):
     return cut
 
 
-def _meet(batches):
-    """Per partition: settled runs (ask 0), and runs whose bytes are needed (ask 1, or 2 under hot anchors)."""
+def _meet(most):
+    """Per partition: settled runs (ask 0), and runs whose bytes are needed (ask 1, or 2 under hot anchors, those
+    with more than most different runs)."""
+
+    def meet(batches):
+        yield from _met(batches, most)
+
+    return meet
+
+
+def _met(batches, most):
     held, key = [], None
 
     def out():
@@ -153,7 +162,7 @@ def _meet(batches):
         different = np.bincount(anchor, new)[anchor] if len(rows) else np.zeros(0)
         open_ = np.bincount(anchor, ~twice)[anchor] if len(rows) else np.zeros(0)
         ask = new & (different > 1) & (open_ > 0)
-        wanted, hot = rows[ask], different[ask] > HOT
+        wanted, hot = rows[ask], different[ask] > most
         rows = np.concatenate([settled, wanted])
         kind = np.r_[np.zeros(len(settled), np.int32), np.where(hot, 2, 1).astype(np.int32)]
         past = np.r_[np.ones(len(settled), bool), twice[ask]]
@@ -290,22 +299,22 @@ def _index(length):
     return index
 
 
-def repeats(docs: DataFrame, text="text", doc_id="doc_id", length=LENGTH, k=K) -> DataFrame:
+def repeats(docs: DataFrame, text="text", doc_id="doc_id", length=LENGTH, k=K, hot=HOT, flush=FLUSH, piece=PIECE) -> DataFrame:
     """(th, idh, ranges): byte ranges (a, b) to remove from each text that has some; th and idh are xxhash64
     of the text and of the id. Ranges may overlap."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
     rows = docs.select(F.xxhash64(text).alias("th"), F.xxhash64(doc_id).alias("idh"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     flat = "th long, idh long, h long, s long, n long, ask int, settled boolean"
-    packed = rows.mapInArrow(_cut(length, k, parts), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
-    met = stash(packed.mapInArrow(_meet, flat), "runs")
+    packed = rows.mapInArrow(_cut(length, k, parts, flush, piece), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
+    met = stash(packed.mapInArrow(_meet(hot), flat), "runs")
     asked = met.where("ask > 0").groupBy("th", "idh", "ask").agg(F.collect_list(F.struct("h", "s", "n", "settled")).alias("asked"))
     texts = stash(rows.dropDuplicates(["th", "idh"]).join(asked, ["th", "idh"]), "asked")
     fetched = texts.where("ask = 1").mapInArrow(_fetch(length), "h long, th long, idh long, s long, n long, settled boolean, bytes binary")
     fetched = fetched.repartition(parts, "h").sortWithinPartitions("h", "th", "s")
     indexed = fetched.mapInArrow(_index(length), "th long, idh long, a long, b long")
     single = texts.where("ask = 2").mapInArrow(_strings(length, parts), "part int, blob binary").repartition(parts, "part").sortWithinPartitions("part")
-    whole = met.where("ask = 0").unionByName(single.mapInArrow(_meet, flat).where("ask = 0"))
+    whole = met.where("ask = 0").unionByName(single.mapInArrow(_meet(hot), flat).where("ask = 0"))
     whole = whole.select("th", "idh", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + length).alias("b"))
     return whole.union(indexed).groupBy("th", "idh").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
@@ -329,17 +338,21 @@ def _remove(doc_type):
                 out.append((len(one), int(gone.sum()), spans, one[~gone].tobytes()))
             cols = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
             digest = pa.array([hashlib.sha256(x[3]).hexdigest() for x in out], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(at["doc_id"]), *cols, pa.array([x[3] for x in out], pa.binary()), digest], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            left = pa.array([len(x[3]) for x in out], pa.int64())
+            # a character is counted where its first byte is left
+            chars = pa.array([int(np.count_nonzero(np.frombuffer(x[3], np.int8) >= -64)) for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(at["doc_id"]), *cols, pa.array([x[3] for x in out], pa.binary()), digest, left, chars], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_kept", "n_chars"])
 
     return remove
 
 
-def dedup(docs: DataFrame, text="text", doc_id="doc_id", length=LENGTH, k=K) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of every row."""
+def dedup(docs: DataFrame, text="text", doc_id="doc_id", length=LENGTH, k=K, **more) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, n_kept (bytes left) and n_chars (characters
+    left) of every row. What was removed shows in n_removed, and in n_chars against the length of the text."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"), F.xxhash64(doc_id).alias("idh"))
-    rows = rows.join(repeats(docs, text, doc_id, length, k), ["th", "idh"], "left").select("doc_id", "text", "ranges")
-    return rows.mapInArrow(_remove(kind), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    rows = rows.join(repeats(docs, text, doc_id, length, k, **more), ["th", "idh"], "left").select("doc_id", "text", "ranges")
+    return rows.mapInArrow(_remove(kind), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, n_kept long, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

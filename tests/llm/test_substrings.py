@@ -37,9 +37,9 @@ def corpus(n=60, seed=4):
     return rows
 
 
-def run(spark, rows, length, k):
+def run(spark, rows, length, k, **more):
     frame = spark.createDataFrame([(i, t, b"") for i, t in enumerate(rows)], "doc_id long, text string, kept binary")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(frame, length=length, k=k).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup(frame, length=length, k=k, **more).collect()}
     assert [got[i] for i in range(len(rows))] == brute(rows, length)
 
 
@@ -47,11 +47,8 @@ def test_equals_brute_force(spark):
     run(spark, corpus(), 50, 20)
 
 
-def test_hot_anchors_and_small_pieces_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", 1)
-    monkeypatch.setattr(substrings, "PIECE", 500)
-    monkeypatch.setattr(substrings, "FLUSH", 800)
-    run(spark, corpus(30, 8), 40, 16)
+def test_hot_anchors_and_small_pieces_give_the_same(spark):
+    run(spark, corpus(30, 8), 40, 16, hot=1, flush=800, piece=500)
 
 
 def test_production_length(spark):
@@ -89,3 +86,29 @@ def test_match_lengths():
                 best = max(best, n)
             want.append(best)
         assert substrings.match_lengths(t, 120).tolist() == want
+
+
+def test_whole_table_against_every_string(spark):
+    """All strings of 400 bytes of all documents of sf0.01, by a hash of each, against the query."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    seen, repeated = set(), set()
+    for _, b in rows:
+        for p in range(len(b) - 399):
+            h = hash(b[p : p + 400])
+            (repeated if h in seen else seen).add(h)
+    want = {}
+    for i, b in rows:
+        gone = np.zeros(len(b) + 1, np.int64)
+        for p in range(len(b) - 399):
+            if hash(b[p : p + 400]) in repeated:
+                gone[p] += 1
+                gone[p + 400] -= 1
+        left = np.frombuffer(b, np.uint8)[np.cumsum(gone[:-1]) == 0].tobytes()
+        want[i] = (len(b), len(b) - len(left), hashlib.sha256(left).hexdigest(), len(left), len(left.decode("utf-8", "ignore")) if left.isascii() else None)
+    got = {r.doc_id: r for r in substrings.query(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(want) and sum(w[1] for w in want.values()) == 460508
+    for i, w in want.items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256, got[i].n_kept) == w[:4], i
+        assert w[4] is None or got[i].n_chars == w[4]
+    whole = {r.doc_id: r.n_chars for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert all((got[i].n_chars < whole[i]) == (w[1] > 0) for i, w in want.items())
