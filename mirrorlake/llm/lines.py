@@ -388,7 +388,7 @@ ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT k, doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS l FROM d WHERE ls IS NOT NULL),
 t AS (SELECT k, doc_id, line, list_sort(list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS w FROM u),
-o AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS pos, dense_rank() OVER (ORDER BY w) AS s FROM t WHERE len(w) >= 5),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS pos, dense_rank() OVER (ORDER BY w) AS s FROM t WHERE len(w) >= 1),
 s AS (SELECT s, any_value(w) AS w, min(pos) AS lead FROM o GROUP BY s),
 p AS (SELECT s, len(w) AS n, unnest(w) AS word FROM s),
 c AS (SELECT a.s AS a, b.s AS b, a.n AS n, b.n AS m, count(*) AS c FROM p a JOIN p b ON a.word = b.word AND a.s <> b.s AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY ALL),
