@@ -21,3 +21,10 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     if "corners" not in rows.columns:
         rows = rows.withColumn("corners", F.lit(b""))
     return rows.drop(*DEAD)
+
+
+def table(name: str, rows: DataFrame, schema: str) -> DataFrame:
+    """A table of an older index with the columns of schema and no others."""
+    rows = files(rows) if name == "files" else fingerprints(rows) if name == "fingerprints" else rows
+    columns = [c.split() for c in schema.split(", ")]
+    return rows.select(*[F.col(c).cast({"long": "bigint"}.get(kind, kind)).alias(c) for c, kind in columns])
