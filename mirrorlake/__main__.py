@@ -1,6 +1,7 @@
 """python -m mirrorlake report|clean FOLDER: find duplicate pictures and, if asked, clean them up."""
 
 import argparse
+import sys
 
 
 def main(args=None) -> int:
@@ -38,18 +39,24 @@ def main(args=None) -> int:
     members = stash(find_sets(stash(Catalogue(spark, index).signatures(), "signatures"), t), "members")
     if a.verb == "report":
         if a.format == "csv":
-            print(cleanup.HEADER, *(r.value for r in cleanup.csv_lines(members).collect()), sep="\n")
+            print(cleanup.HEADER)
+            for r in cleanup.csv_lines(members).toLocalIterator():
+                print(r.value)
         else:
-            print(cleanup.json_report(members))
+            cleanup.json_report(members, sys.stdout)
         return 0
     plan = stash(auto_plan(members), "plan")
+    for r in cleanup.plan_lines(plan).toLocalIterator():
+        print(r.value)
     print(cleanup.describe(plan))
     if a.apply:
         done = cleanup.apply_plan(plan, a.folder, a.to, a.move_dir)
         cleanup.forget(Catalogue(spark, index), done)
-        failed = done.where("message is not null").collect()
-        print(*(f"{r.rel_path}: {r.message}" for r in failed), sep="\n")
-        return int(bool(failed))
+        failed = 0
+        for r in done.where("message is not null").toLocalIterator():
+            failed = 1
+            print(f"{r.rel_path}: {r.message}")
+        return failed
     return 0
 
 

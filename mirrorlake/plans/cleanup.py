@@ -1,6 +1,6 @@
 """Applying a plan to files, and reports. Every removal is tried; failures are rows, not errors."""
 
-import json
+import contextlib
 import os
 import shutil
 
@@ -22,12 +22,14 @@ def apply_plan(plan: DataFrame, root: str, to="trash", target: str | None = None
             said = []
             for rel in pdf.rel_path:
                 try:
+                    here, goal = os.path.join(root, rel), os.path.join(target, rel)
+                    # a task that is run again finds its work done
                     if to == "delete":
-                        os.remove(os.path.join(root, rel))
-                    else:
-                        goal = os.path.join(target, rel)
+                        with contextlib.suppress(FileNotFoundError):
+                            os.remove(here)
+                    elif os.path.exists(here) or not os.path.exists(goal):
                         os.makedirs(os.path.dirname(goal), exist_ok=True)
-                        shutil.move(os.path.join(root, rel), goal)
+                        shutil.move(here, goal)
                     said.append(None)
                 except OSError as e:
                     said.append(str(e))
@@ -51,6 +53,11 @@ def describe(plan: DataFrame) -> str:
     return f"{r.n} files, {r.b / 1e6:.1f} MB"
 
 
+def plan_lines(plan: DataFrame) -> DataFrame:
+    """The list that is read before a plan is confirmed: a path a line, for write.text."""
+    return plan.select(F.col("rel_path").alias("value"))
+
+
 def csv_lines(members: DataFrame) -> DataFrame:
     """One line a member, largest gain first, oldest member first within a set."""
     gain = members.groupBy("set_id").agg(F.sum(F.when(~F.col("auto_keep"), F.col("size_bytes")).otherwise(0)).alias("gain"))
@@ -58,8 +65,17 @@ def csv_lines(members: DataFrame) -> DataFrame:
     return members.join(gain, "set_id").orderBy(F.desc("gain"), "set_id", "mtime_seconds", "rel_path").select(F.concat_ws(",", *cols).alias("value"))
 
 
-def json_report(members: DataFrame) -> str:
+def json_lines(members: DataFrame) -> DataFrame:
+    """One JSON object a set in column value, largest gain first; for write.text, or a report piece by piece."""
     from mirrorlake.operators.matching import nested
 
-    rows = nested(members).orderBy(F.desc("recoverable_bytes"), "set_id").collect()
-    return json.dumps([{"set_id": r.set_id, "recoverable_bytes": r.recoverable_bytes, "members": [m.asDict() for m in r.members]} for r in rows], indent=2)
+    rows = nested(members).orderBy(F.desc("recoverable_bytes"), "set_id")
+    return rows.select(F.to_json(F.struct("set_id", "recoverable_bytes", "members")).alias("value"))
+
+
+def json_report(members: DataFrame, out) -> None:
+    """The sets as one JSON array, written to a stream with one partition of it in memory at a time."""
+    out.write("[")
+    for k, r in enumerate(json_lines(members).toLocalIterator()):
+        out.write((",\n" if k else "\n") + r.value)
+    out.write("\n]\n")

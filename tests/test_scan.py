@@ -1,3 +1,5 @@
+import io
+import json
 import os
 
 import numpy as np
@@ -60,7 +62,10 @@ def test_scan_search_and_clean(spark, tmp_path):
 
     os.remove(root / "_other.png")
     members = spark.createDataFrame(sets)
-    assert cleanup.csv_lines(members).count() == 3 and '"recoverable_bytes"' in cleanup.json_report(members)
+    out = io.StringIO()
+    cleanup.json_report(members, out)
+    report = json.loads(out.getvalue())
+    assert cleanup.csv_lines(members).count() == 3 and len(report) == 1 and len(report[0]["members"]) == 3
     plan = auto_plan(members)
     assert cleanup.describe(plan).startswith("2 files")
     done = cleanup.apply_plan(plan, str(root), "move", str(tmp_path / "out"))
