@@ -192,7 +192,7 @@ def jpeg_span(raw: bytes, at: int) -> bytes | None:
             continue
         if mark == 0xD9:
             return raw[start : at + 2] if picture else None
-        if mark == 0x01 or 0xD0 <= mark <= 0xD7:
+        if mark == 0x01 or 0xD0 <= mark <= 0xD8:
             at += 2
             continue
         if at + 4 > len(raw):
@@ -211,6 +211,31 @@ def jpeg_span(raw: bytes, at: int) -> bytes | None:
     return None
 
 
+def is_picture(raw: bytes, at: int, end: int) -> bool:
+    """Whether the first frame of the JPEG in raw[at:end] is one that can be shown."""
+    if raw[at : at + 3] != b"\xff\xd8\xff":
+        return False
+    at += 2
+    while at + 2 <= end and raw[at] == 0xFF:
+        mark = raw[at + 1]
+        if mark in (0xD9, 0xDA):
+            return False
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            return mark <= 0xC2 and at + 10 <= end and raw[at + 9] in (1, 3)
+        alone = mark == 0x01 or 0xD0 <= mark <= 0xD8
+        if not alone and mark != 0xFF and at + 4 > end:
+            return False
+        at += 1 if mark == 0xFF else 2 if alone else 2 + max(2, struct.unpack_from(">H", raw, at + 2)[0])
+    return False
+
+
+def embedded(raw: bytes, at: int, size: int | None) -> bytes | None:
+    """The JPEG at a place: as long as the container says, where that lies in the file, else as its markers say."""
+    if size is None or size <= 4 or at + size > len(raw):
+        return jpeg_span(raw, at)
+    return raw[at : at + size] if is_picture(raw, at, at + size) else None
+
+
 def jpeg_size(raw: bytes) -> tuple[int, int] | None:
     at = 2
     while at + 9 < len(raw) and raw[at] == 0xFF:
@@ -221,9 +246,9 @@ def jpeg_size(raw: bytes) -> tuple[int, int] | None:
     return None
 
 
-def _tiff_preview(raw: bytes):
-    t = Tiff(raw)
-    todo, seen, best, sizes = [t.read("I", 4) or 0], set(), None, []
+def _directories(t: Tiff):
+    """Entries of the directories of a file, each once: those of the chain, and those that hang off them."""
+    todo, seen = [t.read("I", 4) or 0], set()
     while todo:
         at = todo.pop()
         if at in seen or len(seen) >= DEPTH:
@@ -232,17 +257,7 @@ def _tiff_preview(raw: bytes):
         e = t.entries(at)
         if not e:
             continue
-        number = lambda tag: t.number(e.get(tag))  # noqa: B023, E731
-        sizes += [(number(w), number(h)) for w, h in ((T_WIDTH, T_HEIGHT), (2, 3), (T_EXIF_WIDTH, T_EXIF_HEIGHT)) if number(w) is not None and number(h) is not None]
-        places = [number(T_JPEG)] if number(T_JPEG) is not None and number(T_JPEG_SIZE) is not None else []
-        if T_PANASONIC in e:
-            places.append(e[T_PANASONIC][2])
-        if number(T_COMPRESSION) in (6, 7) and number(T_STRIP) is not None and number(T_STRIP_SIZE) is not None:
-            places.append(number(T_STRIP))
-        for place in places:
-            found = jpeg_span(raw, place)
-            if found and (best is None or len(found) > len(best)):
-                best = found
+        yield e
         if T_EXIF in e:
             todo.append(e[T_EXIF][2])
         if T_SUB in e:
@@ -250,7 +265,27 @@ def _tiff_preview(raw: bytes):
             todo += [value] if count == 1 else [x for x in (t.read("I", value + 4 * k) for k in range(min(count, DEPTH))) if x is not None]
         if t.after(at):
             todo.append(t.after(at))
-    return (best, max(sizes, key=lambda s: s[0] * s[1], default=None)) if best else None
+
+
+def _places(t: Tiff, e: dict) -> list[tuple[int, int | None]]:
+    """Where one directory says that a JPEG stands, and how long it is."""
+    number = lambda tag: t.number(e.get(tag))
+    out = [(number(T_JPEG), number(T_JPEG_SIZE))]
+    if T_PANASONIC in e:
+        out.append((e[T_PANASONIC][2], e[T_PANASONIC][1]))
+    if number(T_COMPRESSION) in (6, 7):
+        out.append((number(T_STRIP), number(T_STRIP_SIZE)))
+    return [(at, size) for at, size in out if at is not None and size is not None]
+
+
+def _tiff_preview(raw: bytes):
+    t = Tiff(raw)
+    found, sizes = [], []
+    for e in _directories(t):
+        sides = [(t.number(e.get(w)), t.number(e.get(h))) for w, h in ((T_WIDTH, T_HEIGHT), (2, 3), (T_EXIF_WIDTH, T_EXIF_HEIGHT))]
+        sizes += [s for s in sides if None not in s]
+        found += [x for x in (embedded(raw, *place) for place in _places(t, e)) if x]
+    return (max(found, key=len), max(sizes, key=lambda s: s[0] * s[1], default=None)) if found else None
 
 
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"meta", b"uuid")

@@ -191,8 +191,8 @@ def from_photoshop(raw: bytes) -> list:
 
 
 def _xmp_name(prop: str) -> str | None:
-    space, _, name = prop.rpartition(":")
-    return None if space in ("rdf", "x", "xmlns") else XMP_NAMES.get(name.lower())
+    space, colon, name = prop.partition(":")
+    return None if space in ("rdf", "x", "xmlns") else XMP_NAMES.get((name if colon else prop).lower())
 
 
 def from_xmp(raw: bytes) -> list:

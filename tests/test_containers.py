@@ -64,3 +64,14 @@ def test_orientation_and_turns():
     a = np.arange(6).reshape(2, 3)
     assert (c.turn_upright(a, 6) == np.rot90(a, -1)).all() and (c.turn_upright(a, 8) == np.rot90(a)).all()
     assert (c.turn_upright(a, 3) == np.rot90(a, 2)).all() and (c.turn_upright(a, 5) == a.T).all() and (c.turn_upright(a, 7) == np.rot90(a, 2).T).all()
+
+
+def test_declared_lengths_of_previews():
+    cut = jpeg()[:-2]  # no end marker, so only the declared length tells where it ends
+    n = len(tiff([(0x201, 4, 1, 1), (0x202, 4, 1, 1)]))
+    assert c.preview(tiff([(0x201, 4, 1, n), (0x202, 4, 1, len(cut))], extra=cut))[0] == cut
+    whole = jpeg()
+    assert c.preview(tiff([(0x201, 4, 1, n), (0x202, 4, 1, len(whole) + 3)], extra=whole + b"abc"))[0] == whole + b"abc"
+    assert c.preview(tiff([(0x201, 4, 1, n), (0x202, 4, 1, 99999)], extra=whole))[0] == whole
+    assert c.preview(tiff([(0x201, 4, 1, n), (0x202, 4, 1, len(whole))], extra=jpeg(0xC3))) is None
+    assert c.is_picture(b"\xff\xd8\xff\xd8" + whole[2:], 0, len(whole) + 2)
