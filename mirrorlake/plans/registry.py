@@ -413,8 +413,12 @@ def corner_agreement(spark, d):
 
 
 def queries():
-    return dict(_Q)
+    from . import index_queries
+
+    return {**_Q, **index_queries.queries()}
 
 
 def oracle_sql():
-    return dict(_O)
+    from . import index_queries
+
+    return {**_O, **index_queries.oracle_sql()}
