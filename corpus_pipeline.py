@@ -2,7 +2,12 @@
 benchmark decontamination, and mixing of sources to target weights.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last keep the columns of documents."""
+as the next one's docs. All but the last keep the columns of documents.
+
+Defined cases: a document without words (null, empty) is rejected by the first stage; rows that are repeated are
+copies of one another, of which the third stage keeps one; null ids, languages and sources stay null and are a
+source of their own in the last; very long texts are used whole; ties are broken by id, then by a hash of the
+text; an empty table gives an empty result; other columns, whatever their names, are kept up to the last stage."""
 
 from pyspark.sql import DataFrame, SparkSession
 
