@@ -197,15 +197,17 @@ def fold_identical(spark, d):
 
 
 @_query(
-    "WITH c AS (SELECT doc_id, p AS place, md5(CASE WHEN p < 6 THEN (length(text) % 97)::VARCHAR || '/' || p::VARCHAR ELSE doc_id::VARCHAR || '/' || p::VARCHAR END) AS h FROM (SELECT doc_id, text, unnest(range(0, 8)) AS p FROM documents)),\n"
+    "WITH n AS (SELECT greatest(1, count(*) * 8) AS filed FROM documents), b AS (SELECT filed, least(20, greatest(6, ceil(log2(greatest(1, filed // 96)))))::INT AS bits FROM n),\n"
+    "r AS (SELECT bits, greatest(1, filed >> bits) * 32 AS most FROM b),\n"
+    "c AS (SELECT doc_id, p AS place, md5(CASE WHEN p < 6 THEN (length(text) % 97)::VARCHAR || '/' || p::VARCHAR ELSE doc_id::VARCHAR || '/' || p::VARCHAR END) AS h FROM (SELECT doc_id, text, unnest(range(0, 8)) AS p FROM documents)),\n"
     "w AS (SELECT doc_id, place, [('0x' || substr(h, 2, 15))::BIGINT, ('0x' || substr(h, 18, 15))::BIGINT] AS words FROM c),\n"
     "k AS ("
     + " UNION ALL ".join(
-        f"SELECT doc_id, place, words, {t} AS t, (" + " + ".join(f"((words[{b // 64 + 1}] >> {b % 64}) & 1) * {1 << i}" for i, b in enumerate(row[:6])) + ")::INT AS key FROM w"
+        f"SELECT doc_id, place, words, {t} AS t, (" + " + ".join(f"CASE WHEN {i} < bits THEN ((words[{b // 64 + 1}] >> {b % 64}) & 1) * {1 << i} ELSE 0 END" for i, b in enumerate(row)) + ")::INT AS key FROM w, r"
         for t, row in enumerate(corners.sampled_bits(120, 4))
     )
     + "),\n"
-    "g AS (SELECT t, key FROM k GROUP BY t, key HAVING count(*) <= 4000), f AS (SELECT k.* FROM k JOIN g USING (t, key)),\n"
+    "g AS (SELECT t, key FROM k, r GROUP BY t, key, most HAVING count(*) <= most), f AS (SELECT k.* FROM k JOIN g USING (t, key)),\n"
     "x AS (SELECT DISTINCT a.doc_id AS asker, b.doc_id AS other, a.place FROM f a JOIN f b ON a.t = b.t AND a.key = b.key AND a.doc_id <> b.doc_id\n"
     "  WHERE bit_count(xor(a.words[1], b.words[1])) + bit_count(xor(a.words[2], b.words[2])) <= 24)\n"
     "SELECT DISTINCT least(asker, other) AS lo, greatest(asker, other) AS hi FROM (SELECT asker, other FROM x GROUP BY asker, other HAVING count(DISTINCT place) >= 3)"
