@@ -4,23 +4,27 @@ Plain patterns (assignments, access keys, long hex runs) give the base spans. Th
 longest run of SHORTEST or more characters of one encoding, with the '=' that pad it, that no base span
 touches: a run of mixed token characters is cut at inner '=', and where it has '+' or '/' as well as '-' or
 '_' into the longest pieces in base64 and those in base64url, which may overlap. Of each it infers the
-encoding (hex, base32, letters and digits, base64) and tests it for randomness over that alphabet:
-  - chi-squared uniformity of the characters (Wilson-Hilferty normal form),
-  - a runs test of characters in the lower against the upper half of the alphabet,
-  - serial correlation of neighbouring characters.
-The three two-sided scores are combined by Stouffer's rule into one p-value of "looks random". Tokens
-that do NOT look random are rejected with false-discovery control by length: within each class of
-encoding and length, a Benjamini-Hochberg threshold comes from a histogram of p-values of the whole
-table (at most ENCODINGS x LENGTHS x BINS rows reach the driver, whatever the input). What is not
-rejected is a secret. Words of prose fail uniformity, so they are rejected.
-
-The table is scanned twice and nothing but the histogram is shuffled. Built-in functions only.
+encoding (decimal, hex, base32, letters and digits, base64) and tests it against that alphabet:
+  - chi-squared uniformity of the characters (Wilson-Hilferty normal form; unevenness counts),
+  - a runs test of characters in the lower against the upper half of the alphabet (two-sided),
+  - serial correlation of neighbouring characters (two-sided).
+The three scores are combined by Stouffer's rule; a token below RANDOM is not random and goes no further.
+What is left may still be language. So its characters, letters in either case as one, are weighed against language
+as it is in the table: the weight of a character is the logarithm of its share in random tokens of the encoding
+over its share in all texts, and the sum has a known mean and variance for a token drawn from those texts. A sum
+far above is no language. Of these p-values a Benjamini-Hochberg threshold by class of encoding and length decides
+what is reported, so the false discovery rate is that of the reported secrets. Tokens of digits alone are held
+against digits, which is to say that they are hardly ever reported. The threshold comes from a histogram of the whole
+table (at most ENCODINGS x LENGTHS x BINS rows reach the driver, whatever the input), the shares from one row of sums.
+
+The table is scanned three times and nothing but sums and the histogram is shuffled. Built-in functions only.
 
 Defined cases: a null or empty text has no spans (base_sha256 is the hash of the empty string); ids,
 repeated rows and other columns are passed by; an empty table gives an empty result; texts are scanned whole.
 """
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +32,13 @@ from pyspark.sql import functions as F
 from .common import let, table
 
 SHORTEST = 16
-ALPHA = 0.05
-#: -log10 of p-values in tenths, the last bin open.
-BINS = 200
+ALPHA = 0.01
+#: Least p-value of the battery, under the hypothesis that a token is random.
+RANDOM = 0.01
+#: Share of random characters that language is granted, as names carry digits and such.
+MIXED = 0.1
+#: Bins of p-values, STEPS a power of ten, the last one open.
+BINS, STEPS = 1000, 50
 #: Lower ends of the length classes.
 LENGTHS = (16, 24, 32, 40, 64, 128)
 
@@ -45,6 +53,7 @@ TOKEN_URL = r"((?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*+[_-])[A-Za-z0-9_-]{%d,}+%s)" %
 
 #: Encodings from narrow to wide, each with its characters in order.
 ENCODINGS = (
+    ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("upper_hex", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -89,8 +98,42 @@ def _encoding(x: str) -> str:
     return out + "end"
 
 
-def _p_value(x: str, k: str) -> str:
-    """SQL: p-value of the battery for token x in encoding k; small: not random."""
+#: Every character of an encoding.
+CHARACTERS = "".join(sorted({c for _, letters in ENCODINGS for c in letters}))
+
+
+class Language(NamedTuple):
+    """Weights of the characters of an encoding, in the order of letters, and mean and variance of that of one
+    character of language."""
+
+    letters: str
+    weights: list[float]
+    mean: float
+    variance: float
+
+
+def language(count: dict[str, int], letters: str) -> Language:
+    """From the counts of characters in all texts; one of each is added, so no share is nothing."""
+    folded = "".join(dict.fromkeys(letters.lower()))
+    known = [1 + sum(count[c] for c in letters if c.lower() == x) for x in folded]
+    random = [letters.lower().count(x) / len(letters) for x in folded]
+    share = [(1 - MIXED) * n / sum(known) + MIXED * u for n, u in zip(known, random, strict=True)]
+    weights = [math.log(u / q) for u, q in zip(random, share, strict=True)]
+    mean = sum(q * w for q, w in zip(share, weights, strict=True))
+    return Language(folded, weights, mean, max(1e-9, sum(q * w * w for q, w in zip(share, weights, strict=True)) - mean**2))
+
+
+def background(docs: DataFrame, text: str) -> list[Language]:
+    """What language is in each encoding, by the characters of all texts."""
+    t = F.col(f"`{text}`")
+    row = docs.agg(*[F.coalesce(F.sum(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))), F.lit(0)).alias(f"c{k}") for k, c in enumerate(CHARACTERS)]).first()
+    count = {c: row[k] for k, c in enumerate(CHARACTERS)}
+    return [language(count, letters) for _, letters in ENCODINGS]
+
+
+def _p_values(x: str, k: str, known: list[Language]) -> str:
+    """SQL: struct of two p-values for token x in encoding k: random (of the battery; small: not random) and language
+    (of the weights; small: no language)."""
     letters = "element_at(array(" + ", ".join(f"'{x}'" for _, x in ENCODINGS) + f"), {k} + 1)"
     # n characters, a letters; f: sum of squared counts; runs of halves; correlation of neighbours
     stats = let(
@@ -116,7 +159,11 @@ def _p_value(x: str, k: str) -> str:
     z_serial = f"(case when {spread} <= 0 then sqrt(s.n) else abs({cross} / {spread}) * sqrt(s.n) end)"
     # |z| of a normal deviate has mean 0.798 and deviation 0.603
     z = f"(({z_chi} + ({z_runs} - 0.798) / 0.603 + ({z_serial} - 0.798) / 0.603) / sqrt(3D))"
-    return let("ls", letters, let("s", stats, _normal_tail(z)))
+    sum_ = f"aggregate(split(lower({x}), ''), 0D, (s, y) -> s + if(y = '' or y = '=', 0D, q.w[instr(q.l, y) - 1]))"
+    far = f"(({sum_} - s.n * q.m) / sqrt(s.n * q.v))"
+    both = f"named_struct('random', {_normal_tail(z)}, 'language', {_normal_tail(far)})"
+    held = ", ".join(f"named_struct('l', '{a.letters}', 'w', array({', '.join(f'{w!r}D' for w in a.weights)}), 'm', {a.mean!r}D, 'v', {a.variance!r}D)" for a in known)
+    return let("ls", letters, let("q", f"element_at(array({held}), {k} + 1)", let("s", stats, both)))
 
 
 def _class(length: str) -> str:
@@ -124,7 +171,9 @@ def _class(length: str) -> str:
 
 
 def _with_spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, the base spans by kind, and the tested tokens as structs (start, end, encoding, class, bin)."""
+    """doc_id, the base spans by kind, and the tokens that pass the battery as structs (start, end, encoding, class
+    of length, bin of the p-value of language)."""
+    known = background(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select(
         "doc_id",
@@ -136,33 +185,35 @@ def _with_spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     base = F.array_sort(F.concat("assign", "access", "hex"))
     rows = rows.select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), base.alias("base"), "token")
     tested = f"""transform(filter(token, x -> not exists(base, b -> b.start < x.end and x.start < b.end) and ({_encoding('x.body')}) is not null),
-        x -> {let('k', _encoding('x.body'), f"named_struct('start', x.start, 'end', x.end, 'enc', k, 'len', {_class('length(x.body)')}, 'bin', cast(least({BINS - 1}, floor(-10 * log10(greatest(1e-300, {_p_value('x.body', 'k')})))) as int))")})"""
+        x -> {let('k', _encoding('x.body'), let('p', _p_values('x.body', 'k', known), f"named_struct('start', x.start, 'end', x.end, 'enc', k, 'len', {_class('length(x.body)')}, 'random', p.random, 'bin', cast(least({BINS - 1}, floor(-{STEPS} * log10(greatest(1e-300, p.language)))) as int))"))})"""
+    tested = f"filter({tested}, x -> x.random >= {RANDOM})"
     return rows.withColumn("tested", F.expr(tested)).drop("token")
 
 
 def limits(rows: DataFrame, alpha=ALPHA) -> dict[tuple[int, int], int]:
-    """Benjamini-Hochberg by (encoding, length class): the lowest bin that is rejected as not random.
-    Only histogram counts leave the executors."""
+    """Benjamini-Hochberg by (encoding, length class): the lowest bin that is reported, BINS for none. A bin counts
+    at its largest p-value. Only histogram counts leave the executors."""
     seen = rows.select(F.explode("tested").alias("x")).groupBy("x.enc", "x.len", "x.bin").count().collect()
     groups: dict[tuple[int, int], dict[int, int]] = {}
     for r in seen:
         groups.setdefault((r["enc"], r["len"]), {})[r["bin"]] = r["count"]
-    out = {}
-    for key, bins in groups.items():
-        total, below, first = sum(bins.values()), 0, BINS
-        for b in range(BINS - 1, -1, -1):
-            below += bins.get(b, 0)
-            if below and 10 ** (-b / 10) <= alpha * below / total:
-                first = b
-        out[key] = first
-    return out
+    return {key: reported(bins, alpha) for key, bins in groups.items()}
+
+
+def reported(bins: dict[int, int], alpha: float) -> int:
+    total, above, first = sum(bins.values()), 0, BINS
+    for b in range(BINS - 1, -1, -1):
+        above += bins.get(b, 0)
+        if above and 10 ** (-b / STEPS) <= alpha * above / total:
+            first = b
+    return first
 
 
 def scan(docs: DataFrame, text="text", doc_id="doc_id", alpha=ALPHA) -> DataFrame:
     """doc_id, counts of the base kinds, base (array of spans) and random (array of spans of the method)."""
     rows = _with_spans(docs, text, doc_id)
     cut = limits(rows, alpha)
-    test = "case " + " ".join(f"when x.enc = {k} and x.len = {n} then x.bin < {b}" for (k, n), b in sorted(cut.items())) + " else false end" if cut else "false"
+    test = "case " + " ".join(f"when x.enc = {k} and x.len = {n} then x.bin >= {b}" for (k, n), b in sorted(cut.items())) + " else false end" if cut else "false"
     return rows.withColumn("random", F.expr(f"filter(tested, x -> {test})")).drop("tested")
 
 

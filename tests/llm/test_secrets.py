@@ -67,3 +67,81 @@ def test_pieces_are_the_longest_of_each_encoding():
         want = {x for x in every if x[1] - x[0] >= secrets.SHORTEST and not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in every)}
         got = [(m.start(), m.start() + len(m[0].rstrip("="))) for p in (secrets.TOKEN, secrets.TOKEN_URL) for m in re.finditer(p, t)]
         assert len(got) == len(set(got)) and set(got) == want, t
+
+
+COUNT = {c: 1000 // (k + 1) for k, c in enumerate(secrets.CHARACTERS)}
+
+
+def test_weights_have_the_mean_and_variance_of_draws():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    for _, letters in secrets.ENCODINGS:
+        known = secrets.language(COUNT, letters)
+        share = np.array([1 + sum(COUNT[c] for c in letters if c.lower() == x) for x in known.letters], float)
+        random_ = np.array([letters.lower().count(x) for x in known.letters]) / len(letters)
+        draws = rnd.multinomial(30, 0.9 * share / share.sum() + 0.1 * random_, 100000) @ np.array(known.weights)
+        assert abs(draws.mean() - 30 * known.mean) < 0.05 and abs(draws.var() / (30 * known.variance) - 1) < 0.03
+
+
+def test_battery_equals_plain_arithmetic(spark):
+    import math
+
+    rnd = random.Random(4)
+    letters = dict(secrets.ENCODINGS)["alnum"]
+    tokens = ["".join(rnd.choice(letters[:size]) for _ in range(n)) for n in (16, 24, 40, 90) for size in (5, 26, 62)]
+    known = [secrets.language(COUNT, x) for _, x in secrets.ENCODINGS]
+    k = [name for name, _ in secrets.ENCODINGS].index("alnum")
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").selectExpr("t", f"{secrets._p_values('t', str(k), known)} as p").collect()
+    tail = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.070566 * max(-40, min(40, z)) ** 3)))
+    for r in got:
+        c = [letters.index(x) for x in r.t]
+        n, a = len(c), 62
+        f = sum(r.t.count(x) ** 2 for x in letters)
+        df = a - 1
+        z_chi = (((a / n * f - n) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+        high = [2 * x >= a for x in c]
+        up, lo = sum(high), n - sum(high)
+        runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
+        mu = 2 * up * lo / n + 1
+        z_runs = abs(runs - mu) / math.sqrt((mu - 1) * (mu - 2) / (n - 1)) if up and lo else math.sqrt(n)
+        mean = sum(c) / n
+        z_serial = abs(sum((x - mean) * (y - mean) for x, y in zip(c, c[1:], strict=False)) / sum((x - mean) ** 2 for x in c)) * math.sqrt(n)
+        z = (z_chi + (z_runs - 0.798) / 0.603 + (z_serial - 0.798) / 0.603) / math.sqrt(3)
+        q = known[k]
+        far = (sum(q.weights[q.letters.index(x)] for x in r.t.lower()) - n * q.mean) / math.sqrt(n * q.variance)
+        assert math.isclose(r.p.random, tail(z), rel_tol=1e-6, abs_tol=1e-12)
+        assert math.isclose(r.p.language, tail(far), rel_tol=1e-6, abs_tol=1e-12)
+
+
+def test_control_is_of_what_is_reported(spark):
+    """Identifiers and constants of language are not called secrets; planted keys are found, few others."""
+    rnd = random.Random(9)
+    words = """about after again answer because before between change children different does earth enough every family father follow found great
+    group house important kind large learn letter light little live mother move never night number often other paper part people picture place
+    plant point river school sentence should side small something spell still story study such think thought three through together took under
+    until watch water well where while word work world would write year young""".split()
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    rows, planted = [], {}
+    for i in range(400):
+        name = "".join(rnd.choice(words).title() for _ in range(6))
+        lead = f"{prose(60)} {name} {''.join(rnd.choice(words) for _ in range(5)).upper()} "
+        key = "".join(rnd.choice(dict(secrets.ENCODINGS)["alnum"]) for _ in range(rnd.choice([32, 40, 48]))) if i % 4 == 0 else ""
+        if key:
+            planted[i] = (len(lead), len(lead) + len(key))
+        rows.append((i, lead + key + " end"))
+    rows += [(1000, "ThisIsAVeryLongCamelCaseIdentifierName123"), (1001, "HELLOWORLDTHISISACONSTANTNAME")]
+    got = {r.doc_id: [(x.start, x.end) for x in r.random] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(span in got[i] for i, span in planted.items())
+    total = sum(map(len, got.values()))
+    assert got[1000] == got[1001] == [] and found >= 0.9 * len(planted) and total - found <= 0.1 * total, (found, total)
+
+
+def test_threshold_equals_plain_benjamini_hochberg():
+    rnd = random.Random(6)
+    for _ in range(50):
+        bins = {rnd.randrange(150): rnd.randint(1, 9) for _ in range(rnd.randint(1, 12))}
+        p = sorted(10 ** (-b / secrets.STEPS) for b, n in bins.items() for _ in range(n))
+        cut = max((x for k, x in enumerate(p, 1) if x <= 0.05 * k / len(p)), default=None)
+        first = secrets.reported(bins, 0.05)
+        assert [b for b in bins if b >= first] == [b for b in bins if cut is not None and 10 ** (-b / secrets.STEPS) <= cut]
