@@ -5,10 +5,15 @@ elements, their class and id words, share of link text, words, punctuation. A li
 each block a cost of being called boilerplate or content; these become the capacities to the two
 terminals. Elements such as nav and footer mark all they hold. Class and id words are weaker evidence, which
 a block can outweigh; they say nothing in body, main and article, in elements around the largest article (or
-main, where there is no article), or in one within it (or in a page without either) that holds nearly all its words. Neighbouring blocks, and blocks of one parent, are tied by smoothness edges. A maximum flow
-then cuts content from boilerplate at least total cost.
+main, where there is no article), or in one within it (or in a page without either) that holds nearly all its words.
 
-Scripts, styles, heads, forms' controls and comments in markup are never text. Character references are
+Smoothness edges follow the page's own tree: a block is tied to its element, the first child to its parent, each
+child to the one before it. So neighbours pull each other over, the more the nearer they stand in the tree: a short
+line between paragraphs stays, a sentence among menu entries goes. On a tree the maximum flow is found by passing
+what a node has left over to the next one, as far as the edge's capacity goes, and the minimum cut by walking back,
+so a page costs time in proportion to its length.
+
+Scripts, styles, titles, forms' controls and comments in markup are never text. Character references are
 decoded, white space inside a block becomes one space, blocks are joined by one line feed; a line break
 element is white space.
 
@@ -33,7 +38,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg select button object head".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select button object".split())
 AWAY = frozenset("nav footer aside form menu dialog".split())
 BODY = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,23 +49,26 @@ AWAY_WORDS = frozenset(
     "comment comments commentlist reply replies respond disqus discussion reader form search login signin signup register newsletter subscribe subscription share sharing social "
     "related recommended recommendations more-stories pagination pager paging tags toolbar skip hidden paywall".split()
 )
+HEAD_WORDS = frozenset("header masthead".split())
 BODY_WORDS = frozenset("article content main post entry story text body articlebody postbody entrycontent".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+#: Comments, tags, tags with a quote that never ends, declarations.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 #: The classifier: log-odds of content.
-W_BASE, W_WORDS, W_LINK, W_PARAGRAPH, W_SENTENCE = -0.8, 0.8, -6.0, 1.5, 0.5
+W_BASE, W_WORDS, W_LINK, W_PARAGRAPH, W_SENTENCE = -2.2, 0.8, -6.0, 1.5, 0.5
 W_BODY, W_BODY_WORD, W_OUTSIDE, W_AWAY, W_HEADING = 4.0, 2.0, -3.0, -16.0, 1.5
 #: Within an element of an away word: this, and W_BODY does not count.
-W_AWAY_WORD = -5.0
+W_AWAY_WORD = -4.0
 #: An element with this share of the words is the text itself, whatever its name.
 NEARLY_ALL = 0.8
 CLIP = 8.0
-#: Capacities of the smoothness edges: neighbours of one parent, other neighbours, nearest of one parent.
-TIE_NEAR, TIE_NEXT, TIE_PARENT = 0.9, 0.3, 0.6
+#: Capacities of the smoothness edges: block and element, first child and parent, neighbouring children.
+TIE_IN, TIE_UP, TIE_NEAR = 2.0, 0.8, 1.2
 
 
 def _words(attributes: str) -> set[str]:
@@ -94,25 +102,33 @@ def _named_away(elements: list[tuple[str, int, bool, bool]], words: list[float])
     return out
 
 
-def blocks(page: str) -> list[tuple[str, float, int]]:
-    """(text, log-odds of content, number of the parent element) of every block in page order."""
+def blocks(page: str) -> tuple[list[tuple[str, float, int]], list[int], list[float]]:
+    """(text, log-odds of content, node) of every block in page order, and the tree of elements and blocks: for each
+    node the one that it is tied to, a lower one, and how strongly."""
     out: list[list] = []
+    tied, ties, node_of, last = [-1], [0.0], [0], [-1]  # the last two by element: its node, its last child's
     # open elements: name, away by a tag, body, body word, number
     stack = [("", False, False, False, 0)]
     elements, held = [("", 0, False, False)], [0.0]
     count, link, parts, linked = 0, 0, [], 0
     has_body = False
 
+    def node(parent, tie):
+        before = last[parent]
+        tied.append(node_of[parent] if before < 0 else before)
+        ties.append(tie if before < 0 else TIE_NEAR)
+        last[parent] = len(tied) - 1
+        return last[parent]
+
     def close():
         nonlocal parts, linked
         if parts:
             text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
                 name, away, body, word, number = stack[-1]
-                outer = stack[-2][4] if len(stack) > 1 else 0
                 links = min(1.0, linked / max(1, len(text)))
                 held[number] += (text.count(" ") + 1) * (1 - links)
-                out.append([text, name, away, body, word, outer, links, number])
+                out.append([text, name, away, body, word, node(number, TIE_IN), links, number])
             parts, linked = [], 0
 
     at, n = 0, len(page)
@@ -126,22 +142,23 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        ending, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if name is None:
             continue
-        name = m[2].lower()
+        name = name.lower()
         if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>|<body\b" if name == "head" else rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = n if not end else end.start() if name == "head" and end[0][1] != "/" else end.end()
+            if not ending and not attributes.endswith("/"):
+                end = _ENDS[name].search(page, at)
+                at = end.end() if end else n
             continue
         if name == "a":
-            link = 0 if m[1] else 1
+            link = 0 if ending else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCK:
             close()
             link = 0
-            if m[1]:
+            if ending:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         del stack[k:]
@@ -152,84 +169,51 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack[-1][0] == name:
                     stack.pop()
                 up = stack[-1]
-                words = _words(m[3]) if m[3] else ()
+                words = _words(attributes) if attributes else set()
                 body = up[2] or name in BODY
                 has_body |= body
                 away = up[1] or name in AWAY or (name == "header" and not up[2])
                 count += 1
-                elements.append((name, up[4], away, any(w in AWAY_WORDS for w in words)))
+                # the head of an article is part of it
+                elements.append((name, up[4], away, any(w in AWAY_WORDS and not (up[2] and w in HEAD_WORDS) for w in words)))
                 held.append(0.0)
+                node_of.append(node(up[4], TIE_UP))
+                last.append(-1)
                 stack.append((name, away, body, up[3] or any(w in BODY_WORDS for w in words), count))
     close()
     named = _named_away(elements, held)
     done = []
-    for text, name, away, body, word, parent, links, number in out:
+    for text, name, away, body, word, at, links, number in out:
         odds = W_BASE + W_WORDS * math.log1p(min(text.count(" ") + 1, 200)) + W_LINK * links
         odds += W_PARAGRAPH * (name in ("p", "pre", "blockquote")) + W_SENTENCE * (text[-1] in ".!?:;\"'»”)")
         odds += W_BODY * (not named[number]) if body else W_OUTSIDE * has_body
-        odds += W_AWAY_WORD * named[number] + W_BODY_WORD * word + W_AWAY * away + W_HEADING * (name in HEADINGS and (body or word))
-        done.append((text, max(-CLIP, min(CLIP, odds)), parent))
-    return done
-
-
-def ties(parents: list[int]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block with the next, and with the last block of its parent."""
-    out, last = [], {}
-    for i, p in enumerate(parents):
-        if i:
-            out.append((i - 1, i, TIE_NEAR if parents[i - 1] == p else TIE_NEXT))
-        if p in last and last[p] != i - 1:
-            out.append((last[p], i, TIE_PARENT))
-        last[p] = i
+        odds += W_AWAY_WORD * named[number] + W_BODY_WORD * word + W_AWAY * away + W_HEADING * (name in HEADINGS)
+        done.append((text, max(-CLIP, min(CLIP, odds)), at))
+    return done, tied, ties
+
+
+def tree_cut(odds: list[float], tied: list[int], ties: list[float]) -> list[bool]:
+    """True for the nodes on the source (content) side of a minimum cut of a tree, whose node k is tied to the lower
+    node tied[k] with capacity ties[k]. Positive odds are capacities from the source, negative ones to the sink."""
+    left = list(odds)
+    for k in range(len(left) - 1, 0, -1):
+        left[tied[k]] += max(-ties[k], min(ties[k], left[k]))
+    out = [left[0] > 0] if left else []
+    for k in range(1, len(left)):
+        # more than its edge lets through stays where it is; all else goes with the node that it is tied to
+        out.append(left[k] > ties[k] or (left[k] > -ties[k] and out[tied[k]]))
     return out
 
 
-def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for the nodes on the source (content) side of a minimum cut. Terminal capacities are the
-    positive and the negative part of odds; flow is raised along shortest paths."""
-    n = len(odds)
-    room: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, c in edges:
-        room[a][b] = room[a].get(b, 0.0) + c
-        room[b][a] = room[b].get(a, 0.0) + c
-    supply = [max(0.0, x) for x in odds]
-    demand = [max(0.0, -x) for x in odds]
-    eps = 1e-9
-    while True:
-        came = {i: -1 for i in range(n) if supply[i] > eps}
-        queue = list(came)
-        end = -1
-        for i in queue:
-            if demand[i] > eps:
-                end = i
-                break
-            for j, c in room[i].items():
-                if c > eps and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        flow, j = demand[end], end
-        while came[j] >= 0:
-            flow = min(flow, room[came[j]][j])
-            j = came[j]
-        flow = min(flow, supply[j])
-        supply[j] -= flow
-        demand[end] -= flow
-        j = end
-        while came[j] >= 0:
-            i = came[j]
-            room[i][j] -= flow
-            room[j][i] += flow
-            j = i
-
-
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    found, tied, ties = blocks(page or "")
     if not found:
         return ""
-    keep = min_cut([b[1] for b in found], ties([b[2] for b in found]))
-    return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    odds = [0.0] * len(tied)
+    for _, x, at in found:
+        odds[at] = x
+    keep = tree_cut(odds, tied, ties)
+    return "\n".join(text for text, _, at in found if keep[at])
 
 
 def _extract(batches):
