@@ -1,9 +1,11 @@
 """Operator 1: quality rules as a short-circuit cascade.
 
-Each rule is one Column over the words of a text. On a bounded sample (SAMPLE_ROWS rows of the first
-partitions) every rule is run alone: its time is its cost, the share that it rejects its selectivity.
-Rules are then ordered by rejection per cost and chained in one CASE, so a later rule is only evaluated
-for rows that all earlier ones let pass. The order changes the time, never the verdict.
+Each rule is one Column over the words of a text. A bounded sample (SAMPLE_ROWS rows of SAMPLE_BYTES or less, drawn by
+chance from the first partitions that hold so many) is taken and written once. One pass over it gives the verdict of every rule on every row;
+the cost of a rule is the time of REPEAT evaluations of the very expression that will run, less that of none.
+The order is greedy: next comes the rule that rejects most per cost of the rows that all earlier ones let pass.
+Rules are chained in one CASE, so a later one is only evaluated for rows that passed. The order changes the
+time, never the verdict.
 Only built-in functions are used; the table is read once and nothing is shuffled.
 
 Defined cases: a null or empty text has no words, so base_failed is true; ids and other columns pass
@@ -15,7 +17,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, table, words_sql
+from .common import drop_stash, let, stash, table, words_sql
 
 MIN_WORDS = 50
 #: Percent of words in repeated 3-word windows above which a text fails.
@@ -24,14 +26,16 @@ MOST_REPEATED = 50
 MOST_SYMBOLS, MOST_DUP_LINES, MOST_MARKS, MOST_CAPITALS = 30, 50, 30, 60
 #: Mean characters of a word.
 MEAN_WORD = (2, 20)
-SAMPLE_ROWS = 500
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 16
+#: Share of the rows that are drawn; evaluations of each row of the sample when a rule is timed.
+DRAWN, REPEAT = 0.2, 4
 
 
 def _repeat_words(w: str) -> str:
-    """SQL: words in 3-word windows that stand twice or more in the array w. Windows are sorted and
-    compared with their neighbours, so the cost is n log n and the comparison is exact."""
-    windows = f"sort_array(transform(sequence(1, size({w}) - 2), i -> struct({w}[i - 1] as a, {w}[i] as b, {w}[i + 1] as c, i as i)))"
-    same = "zip_with(s, slice(s, 2, size(s)), (x, y) -> if(y.i is not null and x.a = y.a and x.b = y.b and x.c = y.c, array(x.i, y.i), cast(array() as array<int>)))"
+    """SQL: words in 3-word windows that stand twice or more in the array w. Windows, as 64-bit hashes, are sorted and
+    compared with their neighbours, so the cost is n log n."""
+    windows = f"sort_array(transform(sequence(1, size({w}) - 2), i -> struct(xxhash64({w}[i - 1], {w}[i], {w}[i + 1]) as h, i as i)))"
+    same = "zip_with(s, slice(s, 2, size(s)), (x, y) -> if(y.i is not null and x.h = y.h, array(x.i, y.i), cast(array() as array<int>)))"
     hits = f"array_distinct(flatten({let('s', windows, same)}))"
     covered = f"size(array_distinct(flatten(transform({hits}, i -> array(i, i + 1, i + 2)))))"
     return f"if(size({w}) < 4, 0, {covered})"
@@ -72,16 +76,41 @@ def with_words(docs: DataFrame, text="text", words="words") -> DataFrame:
     return docs.withColumn(words, F.expr(words_sql(f"`{text}`")))
 
 
-def plan_cascade(docs: DataFrame, checks: dict[str, str], text="text", sample_rows=SAMPLE_ROWS) -> list[str]:
-    """Names of the rules by rejections per second on the sample, most first. The limit is taken from
-    the first partitions only; each rule returns one boolean a row."""
-    head = docs.select(F.col(text).alias("text")).limit(sample_rows)
-    rate = {}
-    for name, sql in checks.items():
+def plan_cascade(texts: DataFrame, checks: dict[str, str], prepare=None, sample_rows=SAMPLE_ROWS) -> list[str]:
+    """Names of the rules, best first, for texts (column text) that prepare gives what the checks use. The sample comes
+    to the driver, so only as many partitions are read as hold it."""
+    short = texts.select("text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    drawn = short.where(F.rand(7) < DRAWN).limit(sample_rows).collect()
+    if len(drawn) < sample_rows // 10:  # a small table
+        drawn = short.limit(sample_rows).collect()
+    sample = (prepare or with_words)(texts.sparkSession.createDataFrame([(r.text,) for r in drawn], "text string").coalesce(1))
+    sample = stash(sample, "rulesample")
+    verdicts = sample.select(*[F.expr(f"coalesce({sql}, false)").alias(name) for name, sql in checks.items()]).collect()
+    again = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(REPEAT))).alias("turn__"))
+
+    def seconds(sql):
         began = time.perf_counter()
-        got = head.select(F.expr(let("words", words_sql("text"), f"({sql})")).alias("x")).collect()
-        rate[name] = (sum(bool(r.x) for r in got) + 0.5) / (len(got) + 1) / max(time.perf_counter() - began, 1e-3)
-    return sorted(checks, key=lambda name: -rate[name])
+        again.agg(F.sum(F.expr(f"if(({sql}) and turn__ > 0, 1, 0)"))).collect()
+        return time.perf_counter() - began
+
+    none = min(seconds("true") for _ in range(2))
+    cost = {name: max(seconds(sql) - none, 1e-3) for name, sql in checks.items()}
+    drop_stash(sample)
+    return greedy({name: [bool(r[name]) for r in verdicts] for name in checks}, cost)
+
+
+def greedy(verdicts: dict[str, list[bool]], cost: dict[str, float]) -> list[str]:
+    """Rules in order of rejections per cost among the rows that no earlier rule rejects."""
+    order, left = [], list(verdicts)
+    alive = [True] * len(next(iter(verdicts.values()), []))
+    while left:
+        n = sum(alive)
+        rate = {name: (sum(x and y for x, y in zip(alive, verdicts[name], strict=True)) + 0.5) / (n + 1) / cost[name] for name in left}
+        best = max(left, key=rate.get)
+        order.append(best)
+        left.remove(best)
+        alive = [x and not y for x, y in zip(alive, verdicts[best], strict=True)]
+    return order
 
 
 def cascade(checks: dict[str, str], order: list[str]) -> str:
@@ -92,15 +121,14 @@ def cascade(checks: dict[str, str], order: list[str]) -> str:
 def filter_documents(docs: DataFrame, text="text") -> DataFrame:
     """The rows that every rule keeps, with the columns of docs. The words are bound inside the predicate,
     because the optimizer moves a filter below the projection that would hold them."""
-    checks = rules(f"`{text}`", "words")
-    order = plan_cascade(docs, rules(), text)
-    return docs.where(F.expr(let("words", words_sql(f"`{text}`"), cascade(checks, order))))
+    order = plan_cascade(docs.select(F.col(f"`{text}`").alias("text")), rules())
+    return docs.where(F.expr(let("words", words_sql(f"`{text}`"), cascade(rules(f"`{text}`", "words"), order))))
 
 
 def report(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     """doc_id, the base metrics, base_failed and kept for every row."""
-    rows = with_words(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    rows = rows.select("doc_id", "text", "words", *[F.expr(metric(m)).cast("long").alias(m) for m in METRICS])
+    measured = lambda texts: with_words(texts).select("*", *[F.expr(metric(m)).cast("long").alias(m) for m in METRICS])
+    rows = measured(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     checks = rules() | {
         "short": f"n_words < {MIN_WORDS}",
@@ -109,7 +137,7 @@ def report(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
         "dup_lines": f"100 * n_dup_lines > {MOST_DUP_LINES} * (1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), '\\n', '')))",
         "word_length": f"word_chars < {MEAN_WORD[0]} * n_words or word_chars > {MEAN_WORD[1]} * n_words",
     }
-    order = plan_cascade(docs, rules(), text)
+    order = plan_cascade(docs.select(F.col(text).alias("text")), checks, measured)
     return rows.select("doc_id", *METRICS, failed.alias("base_failed"), F.expr(cascade(checks, order)).alias("kept"))
 
 

@@ -40,3 +40,16 @@ def test_order_changes_no_verdict_and_empty_table(spark):
     a, b = ([r.x for r in rows.selectExpr(f"{rules.cascade(checks, order)} as x").collect()] for order in (list(checks), list(checks)[::-1]))
     assert a == b
     assert rules.report(docs.limit(0)).count() == 0 and rules.filter_documents(docs.limit(0)).count() == 0
+
+
+def test_order_is_by_rejections_per_cost_of_what_is_left():
+    verdicts = {"a": [True] * 6 + [False] * 4, "b": [True] * 6 + [False] * 4, "c": [False] * 7 + [True] * 3, "dear": [True] * 10}
+    assert rules.greedy(verdicts, {"a": 1, "b": 1.1, "c": 1, "dear": 100}) == ["a", "c", "b", "dear"]
+
+
+def test_the_same_rows_give_the_same_order_of_costs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    orders = [rules.plan_cascade(docs, rules.rules()) for _ in range(2)]
+    assert all(set(o) == set(rules.rules()) for o in orders)
+    # counting words costs nothing beside the sorted windows, which reject less
+    assert all(o.index("short") < o.index("repeated") for o in orders)
