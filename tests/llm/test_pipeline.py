@@ -61,3 +61,23 @@ def test_stages_equal_brute_force(spark):
     for source in {r.source for r in left.values()}:
         mine = [r for r in out if left[r.doc_id].source == source]
         assert sum(r.taken for r in mine) == int(mine[0].target)
+
+
+def test_nulls_and_empty_tables_through_all_stages(spark, tmp_path):
+    line = " ".join(f"word{k} of many" for k in range(30)) + "."
+    other = " ".join(f"thing{k} in here" for k in range(30)) + "."
+    rows = [(1, line, "en", None, 1, 7), (1, line, "en", None, 1, 7), (None, other, None, "s", None, 8), (2, None, "en", "s", 0, 9), (3, "", None, None, None, None), (4, line + "\n" + other + " more", "de", "s", 5, 1)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, `row` int"
+    for some in (rows, []):
+        d = str(tmp_path / f"t{len(some)}")
+        spark.createDataFrame(some, kinds).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "short one")] if some else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = table(spark, d, "documents")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stash(stage(spark, docs, d), "test")
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"], name
+        # the line of 4 that repeats that of 1 goes, and that of the null id, which is last, repeats the other of 4
+        left = sorted(((r.doc_id, r.text, r.row) for r in docs.collect()), key=str)
+        assert left == ([(1, line, 7), (4, other + " more", 1), (None, "", 8)] if some else [])
+        out = corpus_pipeline.run(spark, d).collect()
+        assert sorted((str(r.doc_id), r.size) for r in out) == ([("1", 90), ("4", 91), ("None", 0)] if some else [])
