@@ -1,11 +1,12 @@
 """Block pairs of groups: no group of any size meets in one task. Components are the library's."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorlake.operators.components import components
 
-__all__ = ["block_pairs", "components"]
+__all__ = ["block_pairs", "components", "stars"]
 
 
 def block_pairs(rows: DataFrame, group: str, n: str, node: str, most: int) -> DataFrame:
@@ -17,3 +18,18 @@ def block_pairs(rows: DataFrame, group: str, n: str, node: str, most: int) -> Da
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
     return rows.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("other", "blocks")
+
+
+def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Root of each of n nodes under links a-b: the least node that it reaches."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new != (more := new[new])).any():
+            new = more
+        if (new == root).all():
+            return root
+        root = new

@@ -2,12 +2,15 @@
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes). Rows with equal sets share one
    class, so copies are never paired. A set keeps a sketch: the least hash of each of BINS ranges.
-2. Chosen paths: a run begins at a root; at each of LEVELS steps the path so far picks one filled bin by a
-   hash and the set goes on into the bucket of the token that it has there. Sets that share the tokens
-   on a path meet in its bucket; a pair of similarity s survives a run with probability s**LEVELS. Runs
-   are repeated until a pair at the threshold is missed with probability 1 - RECALL at most.
+2. Chosen paths: a run begins at a root; at each step the path so far picks one filled bin by a hash and the set
+   goes on into the bucket of the token that it has there. Sets that share the tokens on a path meet in its
+   bucket. A bucket of SMALL members or fewer is not split any more; larger ones are, with new tokens, LEVELS
+   times at most. A pair of similarity s survives k steps with probability s**k, and runs are repeated until a
+   pair at the threshold is missed with probability 1 - RECALL at most, the noise of the sketch and the cut of
+   step 3 included: few runs are enough where buckets are small at once, and sets that have a larger one take
+   as many as a pair needs that goes all LEVELS steps.
 3. Buckets are brute-forced over sketches: pairs that agree in LOOSE of the bins join a candidate group.
-   A bucket above BLOCK members is dealt into blocks and every pair of blocks is one task's work.
+   A bucket that is still above BLOCK members is dealt into blocks and every pair of blocks is one task's work.
 4. The candidates' texts are read again, and within each candidate group all pairs are verified on the
    whole sets (blocks again). Only degrees and a spanning forest leave a block, never all pairs.
 5. Verified links give the classes by connected components.
@@ -26,20 +29,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
-from .graph import block_pairs, components
+from .graph import block_pairs, components, stars
 from .packed import U64, Union, column, mix, shingle_sets, slices
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
 BINS = 64
-LEVELS = 4
+#: Steps of a run at most. Whatever their number, as many pairs of a large group of near copies meet at equal RECALL (more
+#: steps need more runs: 7, 11, 18, 27 for 1 to 4), while the rows on the way grow, so few steps are taken; sets that share
+#: a passage only are parted by the first two.
+LEVELS = 3
 RECALL = 0.9999
-LOOSE = 0.6
+LOOSE = 0.55
+#: Members of a bucket that is not split any more.
+SMALL = 32
 BLOCK = 256
+#: Rows of buckets, and pairs of them, that are compared at once.
+ROWS, PAIRS = 1 << 14, 1 << 17
+U16_ONE = np.uint16(1)
+
+
+def recall_of(runs: int, levels=LEVELS, threshold=THRESHOLD, bins=BINS, loose=LOOSE) -> float:
+    """Chance that a pair at the threshold meets in a run and passes the cut; bins agree by binomial draws."""
+    s, out = threshold[0] / threshold[1], 0.0
+    for k in range(math.ceil(loose * bins), bins + 1):
+        out += math.comb(bins, k) * s**k * (1 - s) ** (bins - k) * (1 - (1 - (k / bins) ** levels) ** runs)
+    return out
 
 
 def runs_needed(levels=LEVELS, threshold=THRESHOLD, recall=RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (threshold[0] / threshold[1]) ** levels))
+    return next(n for n in range(1, 1000) if recall_of(n, levels, threshold) >= recall)
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -55,19 +74,28 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paths(sketches: np.ndarray, runs: int, levels=LEVELS) -> np.ndarray:
-    """The bucket of each set in each run."""
-    filled = sketches != 0
-    names = mix(np.arange(1, BINS + 1, dtype=U64))
-    at = np.arange(len(sketches))
-    out = np.zeros((len(sketches), runs), U64)
-    for run in range(runs):
-        path = np.full(len(sketches), mix(U64(7919 + run)), U64)
-        for _ in range(levels):
-            rank = mix(path[:, None] ^ names) | ~filled * U64(0xFFFFFFFFFFFFFFFF)
-            path = mix(path * U64(0x9E3779B97F4A7C15) + sketches[at, rank.argmin(axis=1)])
-        out[:, run] = path
-    return out
+_NAMES = mix(np.arange(1, BINS + 1, dtype=U64))
+
+
+def step(path: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where each set goes on from its path: into the bucket of its token in the filled bin that the path picks."""
+    rank = mix(path[:, None] ^ _NAMES) | (marks == 0) * U64(0xFFFFFFFFFFFFFFFF)
+    spot = rank.argmin(axis=1)
+    return mix(path * U64(0x9E3779B97F4A7C15) + marks[np.arange(len(marks)), spot].astype(U64) * U64(BINS) + spot.astype(U64))
+
+
+def first_step(marks: np.ndarray, runs: int) -> np.ndarray:
+    """The bucket of each set in each run after one step."""
+    return np.stack([step(np.full(len(marks), mix(U64(7919 + run)), U64), marks) for run in range(runs)], 1) if len(marks) else np.zeros((0, runs), U64)
+
+
+def _split(batches):
+    """One step more for rows (sid, key, marks)."""
+    for batch in batches:
+        at = {c: batch.schema.get_field_index(c) for c in batch.schema.names}
+        marks = np.frombuffer(b"".join(batch.column(at["marks"]).to_pylist()), "<u2").reshape(-1, BINS)
+        keys = step(batch.column(at["key"]).to_numpy().astype(U64), marks) if len(marks) else np.zeros(0, U64)
+        yield pa.RecordBatch.from_arrays([batch.column(at["sid"]), pa.array(keys.astype(np.int64))], ["sid", "key"])
 
 
 def set_id(one: np.ndarray) -> bytes:
@@ -81,9 +109,9 @@ def _signer(runs: int):
             for lo, part, offs in slices(data, offsets):
                 sets = shingle_sets(part, offs, SHINGLE)
                 marks = sketch(sets)
-                keys = paths(marks, runs).astype(np.int64)
-                small = (marks >> U64(16)).astype("<u2")
+                small = (marks >> U64(16)).astype("<u2") | U16_ONE
                 small[marks == 0] = 0
+                keys = first_step(small, runs).astype(np.int64)
                 n = np.array([len(s) for s in sets], np.int32)
                 rows = batch.slice(lo, len(sets))
                 yield pa.RecordBatch.from_arrays(
@@ -141,30 +169,52 @@ def _pairs_of(hit, mine, x, y):
     return np.nonzero(hit & (mine == x)[:, None] & (mine == y)[None, :])
 
 
+def _link(rows: pa.RecordBatch):
+    """Links of whole groups (key, x, y, sorted by these and by mine) whose sketches agree in LOOSE of the bins that
+    either fills: from each set to the least one that it reaches."""
+    at = {c: rows.schema.get_field_index(c) for c in rows.schema.names}
+    key, x, y, mine = (rows.column(at[c]).to_numpy() for c in ("key", "x", "y", "mine"))
+    marks = np.frombuffer(b"".join(rows.column(at["marks"]).to_pylist()), "<u2").reshape(-1, BINS)
+    sid = np.frombuffer(b"".join(rows.column(at["sid"]).to_pylist()), "S16")
+    n = len(sid)
+    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    end = np.repeat(np.r_[begin[1:], n], np.diff(np.r_[begin, n]))
+    # a block with itself: the rows after this one; a block with another: the rows of the other
+    one = x == y
+    second = np.r_[np.minimum.reduceat(np.where(mine == y, np.arange(n), n), begin)]
+    start = np.where(one, np.arange(n) + 1, np.repeat(second, np.diff(np.r_[begin, n])))
+    count = np.where(one | (mine == x), np.maximum(0, end - start), 0)
+    full = marks != 0
+    total, lo, left, right = np.cumsum(count), 0, [], []
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+        c = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c - start[lo:hi], c)
+        agree = ((marks[i] == marks[j]) & full[i]).sum(1, dtype=np.int16)
+        good = agree >= LOOSE * (full[i] | full[j]).sum(1, dtype=np.int16)
+        left.append(i[good])
+        right.append(j[good])
+        lo = hi
+    _, first, name = np.unique(sid, return_index=True, return_inverse=True)
+    root = stars(name[np.concatenate(left)], name[np.concatenate(right)], len(first))
+    node = np.flatnonzero(root != np.arange(len(first)))
+    ids = rows.column(at["sid"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(first[node])), ids.take(pa.array(first[root[node]]))], ["a", "b"])
+
+
 def _link_sketches(batches):
-    """Forest of the pairs of a bucket whose sketches agree in LOOSE of the bins that either fills."""
-    out_a, out_b = [], []
+    """Links of all groups, some thousand rows of whole groups at a time; a group is a pair of blocks at most."""
+    held, size = [], 0
     for g in _groups(batches, ["key", "x", "y"]):
-        if g.num_rows < 2:
-            continue
-        at = {c: g.schema.get_field_index(c) for c in g.schema.names}
-        marks = np.frombuffer(b"".join(g.column(at["marks"]).to_pylist()), "<u2").reshape(-1, BINS)
-        sid = g.column(at["sid"]).to_pylist()
-        mine, x, y = g.column(at["mine"]).to_numpy(), g.column(at["x"])[0].as_py(), g.column(at["y"])[0].as_py()
-        full = marks != 0
-        agree = np.zeros((len(sid), len(sid)), np.int16)
-        some = np.zeros_like(agree)
-        for b in range(BINS):
-            f = full[:, b]
-            agree += (marks[:, b][:, None] == marks[:, b]) & f
-            some += f[:, None] | f
-        for a, b in _forest(*_pairs_of(agree >= LOOSE * some, mine, x, y), sid):
-            out_a.append(sid[a])
-            out_b.append(sid[b])
-        if len(out_a) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
-            out_a, out_b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+        if g.num_rows > 1:
+            held.append(g)
+            size += g.num_rows
+        if size > ROWS:
+            yield _link(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held, size = [], 0
+    if held:
+        yield _link(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def _resign(batches):
@@ -243,7 +293,8 @@ def join(docs: DataFrame, text="text", doc_id="doc_id", recall=RECALL) -> DataFr
     """(doc_id, th, n_shingles, sid, root, class_id, n_links) for every row; th is xxhash64 of the text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = stash(rows.mapInArrow(_signer(runs_needed(recall=recall)), f"doc_id {kind}, th long, n int, sid binary, keys array<bigint>, marks binary"), "signed")
+    few, runs = runs_needed(1, recall=recall), runs_needed(recall=recall)
+    signed = stash(rows.mapInArrow(_signer(runs), f"doc_id {kind}, th long, n int, sid binary, keys array<bigint>, marks binary"), "signed")
     sets = stash(
         signed.groupBy("sid")
         .agg(
@@ -256,12 +307,27 @@ def join(docs: DataFrame, text="text", doc_id="doc_id", recall=RECALL) -> DataFr
         ),
         "sets",
     )
-    # buckets with two sets or more
-    entries = sets.where("n > 0").select("sid", F.explode("keys").alias("key")).distinct()
-    full = entries.groupBy("key").count().where("count > 1")
-    members = entries.join(full, "key").join(sets.select("sid", "marks"), "sid")
-    dealt = block_pairs(members, "key", "count", "sid", BLOCK).select("key", "x", "y", "mine", "sid", "marks")
-    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    # buckets with two sets or more; those that are large are split, as often as LEVELS allows
+    marks = sets.select("sid", "marks")
+    entry = lambda keys: F.explode(keys).alias("key")
+    entries = stash(sets.where("n > 0").select("sid", entry(F.slice("keys", 1, few))).distinct(), "entries")
+    large = entries.groupBy("key").count().where(F.col("count") > SMALL)
+    crowded = entries.join(large, "key").select("sid").distinct()
+    entries = entries.union(sets.join(crowded, "sid", "left_semi").select("sid", entry(F.slice("keys", few + 1, runs))))
+    dealt = None
+    for level in range(1, LEVELS + 1):
+        full = entries.groupBy("key").count().where("count > 1")
+        members = entries.join(full, "key")
+        last = level == LEVELS
+        members = members if last else stash(members, "buckets")
+        small = block_pairs(members if last else members.where(F.col("count") <= SMALL), "key", "count", "sid", BLOCK).select("key", "x", "y", "mine", "sid")
+        dealt = small if dealt is None else dealt.union(small)
+        if not last:
+            large = members.where(F.col("count") > SMALL)
+            if large.isEmpty():
+                break
+            entries = stash(large.select("sid", "key").join(marks, "sid").mapInArrow(_split, "sid binary, key long"), "paths")
+    dealt = dealt.join(marks, "sid").select("key", "x", "y", "mine", "sid", "marks").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "mine")
     loose = components(dealt.mapInArrow(_link_sketches, "a binary, b binary"), "loose")
     # whole sets of the candidates
     sizes = loose.groupBy("root").agg(F.count("*").alias("size"))
@@ -289,10 +355,12 @@ def keep_one(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     """The row with the least id of each class, with the columns of docs."""
     found = join(docs, text, doc_id)
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
-    keep = least.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
-    rows = docs.withColumn("__h", F.xxhash64(text)).join(keep, (F.col("__h") == F.col("__th")) & F.col(doc_id).eqNullSafe(F.col("__id")))
-    one = Window.partitionBy("__h", doc_id).orderBy("__th")
-    return rows.withColumn("__no", F.row_number().over(one)).where("__no = 1").select(*[f"`{c}`" for c in docs.columns])
+    keep = least.select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th"))
+    # the row travels whole, so no column of docs can clash with these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{doc_id}`").alias("id"))
+    rows = rows.join(keep, (F.col("h") == F.col("kept_th")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    one = Window.partitionBy("h", "id").orderBy(F.xxhash64("row"))
+    return rows.withColumn("no", F.row_number().over(one)).where("no = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,10 @@ def test_common_counts():
     for i in range(9):
         for j in range(9):
             assert i == j or got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    names = ["__h", "__id", "__th", "row", "h", "no", "kept_id"]
+    rows = [(i, "one two three four five six seven", *range(i, i + 7)) for i in (4, 3)] + [(9, None, *range(7))]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)))
+    assert sorted(map(tuple, got.collect()), key=str) == [(3, "one two three four five six seven", *range(3, 10)), (9, None, *range(7))]
