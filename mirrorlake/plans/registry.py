@@ -395,7 +395,8 @@ def image_scan(spark, d):
 
 @_query()
 def corner_agreement(spark, d):
-    """Agreeing corners of a picture made of every embedding with a shifted crop of it, and with its negative."""
+    """Agreeing corners of a picture made of every embedding with a shifted crop of it, and with its negative.
+    A row takes tens of milliseconds and a few hundred bytes, so rows are dealt out evenly first."""
     import pyarrow as pa
 
     def run(batches):
@@ -403,15 +404,21 @@ def corner_agreement(spark, d):
 
         from mirrorlake.functions import kernels
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                whole = kernels.luma(_picture(r["embedding"], 160))
-                sides = [kernels.features(x) for x in (whole, whole[12:, 20:], 255 - whole)]
-                arrays = [(np.array([p[:2] for p in s], np.float32).reshape(-1, 2), np.array([np.frombuffer(p[2], "<u8") for p in s]).reshape(-1, 4)) for s in sides]
-                row = {"vec_id": r["vec_id"], "crop": kernels.agreement(arrays[0], arrays[1]), "negative": kernels.agreement(arrays[0], arrays[2])}
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("vec_id", pa.int64()), ("crop", pa.int32()), ("negative", pa.int32())]))
+        def corners(gray):
+            places, bits = kernels.feature_arrays(gray)
+            return places.astype(np.float32), bits.view("<u8")
 
-    return _t(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, crop int, negative int")
+        for batch in batches:
+            crop, negative = [], []
+            for embedding in batch.column(1).to_pylist():
+                gray = kernels.luma(_picture(embedding, 160))
+                whole = corners(gray)
+                crop.append(kernels.agreement(whole, corners(gray[12:, 20:])))
+                negative.append(kernels.agreement(whole, corners(255 - gray)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crop, pa.int32()), pa.array(negative, pa.int32())], ["vec_id", "crop", "negative"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return _t(spark, d, "embeddings").select("vec_id", "embedding").repartition(parts).mapInArrow(run, "vec_id long, crop int, negative int")
 
 
 def queries():

@@ -65,3 +65,32 @@ def test_variant_hashes_are_those_of_the_moved_block():
 def test_pack_and_unpack_corners():
     points = [(1, 2, bytes(range(32))), (65535, 0, b"\0" * 32)]
     assert k.unpack_corners(k.pack_corners(points) + b"xyz") == points
+
+
+def plain_corners(gray):
+    best = {}
+    h, w = gray.shape
+    for y in range(k.PATCH, h - k.PATCH):
+        for x in range(k.PATCH, w - k.PATCH):
+            ring = [int(gray[y + dy, x + dx]) - int(gray[y, x]) for dx, dy in k.CIRCLE]
+            for side in ([v > k.CONTRAST for v in ring], [v < -k.CONTRAST for v in ring]):
+                if sum(side[::4]) >= 3 and any(all((side * 2)[s : s + k.ARC]) for s in range(16)):
+                    score, cell = sum(map(abs, ring)), (y // 4, x // 4)
+                    if cell not in best or score > best[cell][2]:
+                        best[cell] = (x, y, score)
+    return sorted(best.values(), key=lambda p: (p[1], p[0]))
+
+
+def test_corners_equal_their_definition():
+    rnd = np.random.default_rng(2)
+    pictures = [k.luma(detailed(90, 110, 3)), rnd.integers(0, 256, (45, 61)).astype(np.uint8), np.kron(rnd.integers(0, 2, (9, 8)) * 255, np.ones((7, 7))).astype(np.uint8)]
+    found = [k.fast_corners(x) for x in pictures]
+    assert [[tuple(r) for r in x.tolist()] for x in found] == [plain_corners(x) for x in pictures] and all(map(len, found[:2]))
+    assert len(k.fast_corners(np.zeros((30, 90), np.uint8))) == 0 and k.features(np.zeros((90, 90), np.uint8)) == []
+
+
+def test_only_corners_that_can_be_kept_are_described(monkeypatch):
+    seen, describe = [], k.describe
+    monkeypatch.setattr(k, "describe", lambda gray, smooth, x, y: seen.append(len(x)) or describe(gray, smooth, x, y))
+    gray = np.random.default_rng(4).integers(0, 256, (300, 300)).astype(np.uint8)
+    assert len(k.features(gray)) == k.KEYPOINTS == sum(seen) < len(k.fast_corners(gray))

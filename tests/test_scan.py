@@ -85,3 +85,21 @@ def test_corners_join_a_crop(spark, tmp_path):
     signatures = Catalogue(spark, index).signatures()
     assert find_sets(signatures, Thresholds.preset("close")).count() == 0
     assert {r.rel_path for r in find_sets(signatures, Thresholds.preset("close", corners=True)).collect()} == {"base.png", "crop.png"}
+
+
+def test_corner_agreement_deals_its_pictures_out(spark, tmp_path):
+    """One file is one partition; each picture takes long. The agreement is that of the listed corners."""
+    from pyspark.sql import functions as F
+
+    from mirrorlake.functions import kernels
+    from mirrorlake.plans import registry
+
+    rows = [(i, [float(np.float32((i * 64 + j) % 97 / 97)) for j in range(64)]) for i in range(8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.queries()["corner_agreement"](spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in got}) == 8
+    pairs = lambda g: (np.array([p[:2] for p in g], np.float32), np.array([np.frombuffer(p[2], "<u8") for p in g]))
+    for r in got:
+        whole = kernels.luma(registry._picture(rows[r.vec_id][1], 160))
+        one, crop, negative = (pairs(kernels.features(x)) for x in (whole, whole[12:, 20:], 255 - whole))
+        assert (r.crop, r.negative) == (kernels.agreement(one, crop), kernels.agreement(one, negative)) and r.crop >= kernels.AGREEING > r.negative
