@@ -112,3 +112,17 @@ def test_whole_table_against_every_string(spark):
         assert w[4] is None or got[i].n_chars == w[4]
     whole = {r.doc_id: r.n_chars for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     assert all((got[i].n_chars < whole[i]) == (w[1] > 0) for i, w in want.items())
+
+
+def test_passages_of_over_50_words_go_by_their_bytes(spark):
+    """Items of over 50 words of the benchmark are under 400 bytes: alone in two documents they stay, two in a row go."""
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) > 50]
+    assert len(items) == 42 and max(len(t.encode()) for t in items) == 394
+    rows = [f"{c}<{t}>{c}" for t in items for c in "xy"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {(r.n_removed, r.n_spans) for r in substrings.dedup(frame).collect()} == {(0, 0)}
+    pairs = [f"{a} {b}" for a, b in zip(items[::2], items[1::2], strict=True)]
+    rows = [f"{c}<{t}>{c}" for t in pairs for c in "xy"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.dedup(frame).collect()}
+    assert got == {i: (len(pairs[i // 2].encode()) + 2, 1) for i in range(len(rows))}
